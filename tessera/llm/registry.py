@@ -5,18 +5,87 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm.decontaminate import contaminated, find_contamination
+from tessera.llm.linededup import dedup_lines
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.workspace import read
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that 13-word windows of benchmark items cover, and whose items they are."""
+    found = find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"),
+    )
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of at least 40 code points found in five documents stay only in the one of largest id."""
+    kept = dedup_lines(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+#: An item word list of at most 12 words is its only window.
+OP2_SQL = rf"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), iw AS (
+  SELECT item_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
+), win AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS k, array_to_string(w[s:s + least(13, len(w)) - 1], ' ') AS g
+  FROM iw, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS r(s) WHERE len(w) > 0
+), sizes AS (SELECT DISTINCT k FROM win
+), dg AS (
+  SELECT doc_id, s, k, array_to_string(w[s:s + k - 1], ' ') AS g FROM dw, sizes, unnest(range(1, len(w) - k + 2)) AS r(s)
+), occ AS (
+  SELECT dg.doc_id, dg.s, dg.k, win.item_id FROM dg JOIN win ON dg.g = win.g AND dg.k = win.k
+), hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM occ, unnest(range(s, s + k)) AS r(p) GROUP BY doc_id
+), its AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM occ) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
+OP8_SQL = f"""
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), lines AS (
+  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM split
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS k FROM lines
+), confirmed AS (
+  SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+  SELECT y.doc_id, y.line, y.pos, coalesce(c.keeper <> y.doc_id, false) AS gone FROM keyed y LEFT JOIN confirmed c ON y.k = c.k
+)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(gone::INT) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose sets of 2-word shingles reach a Jaccard similarity of 0.8."""
     return near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": op2_decontaminate,
+    "op8_line_dedup": op8_line_dedup,
     "op10_minhash": op10_minhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_decontaminate": OP2_SQL,
+    "op8_line_dedup": OP8_SQL,
+}

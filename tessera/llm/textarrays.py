@@ -141,3 +141,57 @@ def windows(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
         begin = np.repeat(first, counts)
         rank = np.arange(len(begin)) - np.repeat(np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
         return mixed(total[begin + rank]), np.repeat(np.arange(len(counts)), counts)
+
+
+@dataclass
+class Lines:
+    """Lines of a run, split at \\n: byte span, stripped span, and for the long ones a hash of their key."""
+
+    start: np.ndarray
+    end: np.ndarray
+    key_start: np.ndarray
+    key_end: np.ndarray
+    per_row: np.ndarray
+    long: np.ndarray
+    hash: np.ndarray
+
+    @property
+    def first(self) -> np.ndarray:
+        return np.concatenate(([0], np.cumsum(self.per_row)))
+
+
+def lines(run: Run, least: int) -> Lines:
+    """A line's key is the line without blanks at its ends, A-Z lower-cased; ``long``: of at least ``least`` code points."""
+    data, begin = run.data, run.begin
+    feed = np.flatnonzero(data == 0x0A)
+    row_of_feed = np.searchsorted(begin, feed, "right") - 1
+    per_row = np.bincount(row_of_feed, minlength=run.rows) + 1
+    first = np.concatenate(([0], np.cumsum(per_row)))
+    start = np.zeros(first[-1], np.int64)
+    end = np.zeros(first[-1], np.int64)
+    start[first[:-1]] = begin[:-1]
+    end[first[1:] - 1] = begin[1:]
+    after = np.ones(first[-1], bool)
+    after[first[:-1]] = False
+    start[after] = feed + 1
+    before = np.ones(first[-1], bool)
+    before[first[1:] - 1] = False
+    end[before] = feed
+    solid = np.flatnonzero(~_SPACE[data])
+    lo, hi = np.searchsorted(solid, start), np.searchsorted(solid, end)
+    some = hi > lo
+    key_start, key_end = start.copy(), start.copy()
+    key_start[some] = solid[lo[some]]
+    key_end[some] = solid[hi[some] - 1] + 1
+    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    long = points[key_end] - points[key_start] >= least
+    hashed = np.zeros(len(start), np.uint64)
+    which = np.flatnonzero(long)
+    if len(which):
+        size = (key_end - key_start)[which]
+        at = np.concatenate(([0], np.cumsum(size)[:-1]))
+        place = np.arange(int(size.sum())) - np.repeat(at, size)
+        with np.errstate(over="ignore"):
+            value = _BYTE[LOWER[data[np.repeat(key_start[which], size) + place]]] * _powers(int(size.max()))[place]
+            hashed[which] = mixed(np.add.reduceat(value, at) + size.astype(np.uint64))
+    return Lines(start, end, key_start, key_end, per_row, long, hashed)
