@@ -8,14 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.decontaminate import contaminated, find_contamination
+from tessera.llm import langid
 from tessera.llm.linededup import dedup_lines
 from tessera.llm.minhash import near_duplicates
+from tessera.llm.toxicity import CATEGORIES, fit_chain, low_quality_and_toxic, score
 from tessera.llm.workspace import read
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+TOXIC_FROM = 0.5
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of a chain (low quality, then toxic) for every document, and whether it is toxic."""
+    docs = read(spark, sf_dir, "documents")
+    chain = fit_chain(docs, low_quality_and_toxic(read(spark, sf_dir, "labels")), CATEGORIES)
+    return score(docs, chain, CATEGORIES).select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= TOXIC_FROM).alias("toxic"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that 13-word windows of benchmark items cover, and whose items they are."""
     found = find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -31,6 +43,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, from the mixture that explains it best."""
+    docs = read(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.learn(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 #: An item word list of at most 12 words is its only window.
 OP2_SQL = rf"""
 WITH dw AS (
@@ -80,7 +99,9 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
+    "op3_language_id": op3_language_id,
     "op8_line_dedup": op8_line_dedup,
     "op10_minhash": op10_minhash,
 }
