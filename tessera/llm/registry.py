@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.chat import render_maximal
 from tessera.llm.decontaminate import contaminated, find_contamination
 from tessera.llm import langid
 from tessera.llm.linededup import dedup_lines
 from tessera.llm.minhash import near_duplicates
+from tessera.llm.mixing import mix
 from tessera.llm.toxicity import CATEGORIES, fit_chain, low_quality_and_toxic, score
 from tessera.llm.workspace import read
 
@@ -37,6 +39,49 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents repeated so that sources weigh as the square root of their size, in shuffled order."""
+    return mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_copies", "copy", "shuffle_key")
+
+
+OP6_SQL = """
+WITH d AS (SELECT *, greatest(coalesce(length(text), 0), 1) AS points FROM documents
+), s AS (SELECT source, CAST(sum(points) AS DOUBLE) AS points FROM d GROUP BY source
+), r AS (SELECT source, (sqrt(points) / (SELECT sum(sqrt(points)) FROM s)) * (SELECT sum(points) FROM s) / points AS rate FROM s
+), r2 AS (SELECT source, greatest(CAST(ceil(rate / 16) AS INT), 1) AS draws, rate / greatest(CAST(ceil(rate / 16) AS INT), 1) AS step FROM r
+), cdf AS (
+  SELECT source, k, sum(exp(-step + k * ln(step) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c
+  FROM r2, range(0, 97) AS g(k)
+), u AS (
+  SELECT doc_id, d.source, text, CAST('0x' || substr(md5('1:copies|' || doc_id || '|' || j), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+  FROM d JOIN r2 ON d.source IS NOT DISTINCT FROM r2.source, unnest(range(1, draws + 1)) AS t(j)
+), n AS (
+  SELECT doc_id, u.source, text, count(*) FILTER (WHERE c <= u) AS n_copies FROM u JOIN cdf ON u.source IS NOT DISTINCT FROM cdf.source GROUP BY ALL
+)
+SELECT doc_id, source, text, CAST(n_copies AS BIGINT) AS n_copies, copy, md5('1:order|' || doc_id || '|' || copy) AS shuffle_key
+FROM n, unnest(range(1, n_copies + 1)) AS t(copy)
+"""
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that aren't the beginning of a longer one, rendered."""
+    return render_maximal(read(spark, sf_dir, "conversations"))
+
+
+OP9_SQL = """
+WITH t AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL)
+), p AS (
+  SELECT conv_id, pos, count(*) OVER (PARTITION BY conv_id) AS n,
+         string_agg(coalesce('r' || role, '-') || chr(1) || coalesce('t' || text, '-'), chr(2)) OVER (PARTITION BY conv_id ORDER BY pos) AS pre,
+         string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '') OVER (PARTITION BY conv_id ORDER BY pos) AS rendered
+  FROM t
+), whole AS (SELECT pre, min(conv_id) AS conv_id, any_value(n) AS n_turns, count(*) AS n_copies, any_value(rendered) AS rendered FROM p WHERE pos = n GROUP BY pre)
+SELECT conv_id, n_turns, n_copies, rendered FROM whole WHERE pre NOT IN (SELECT pre FROM p WHERE pos < n)
+"""
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of at least 40 code points found in five documents stay only in the one of largest id."""
     kept = dedup_lines(read(spark, sf_dir, "documents"))
@@ -102,11 +147,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
     "op3_language_id": op3_language_id,
+    "op6_mix_sources": op6_mix_sources,
     "op8_line_dedup": op8_line_dedup,
+    "op9_chat_format": op9_chat_format,
     "op10_minhash": op10_minhash,
 }
 
 SQL: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
+    "op6_mix_sources": OP6_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op9_chat_format": OP9_SQL,
 }
