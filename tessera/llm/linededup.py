@@ -31,18 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import textarrays as ta
+from tessera.llm.bloom import MOST_BITS, twice_filter, twice_seen
 from tessera.llm.workspace import Workspace
 
 LEAST_POINTS, LEAST_DOCS = 40, 5
-MOST_BITS, SLICE_BITS, SENT_ROWS = 1 << 29, 1 << 20, 1 << 20
+SENT_ROWS = 1 << 20
 _NO_ID = -(2**63)
 
 
-def _positions(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    last = np.uint64(bits - 1)
-    return (hashes & last).astype(np.int64), (ta.mixed(hashes) & last).astype(np.int64)
-
-
 def _row_hashes(run: ta.Run, own: ta.Lines) -> np.ndarray:
     """Hashes of the long lines, one for each row that holds the line."""
     row = np.repeat(np.arange(run.rows), own.per_row)[own.long]
@@ -61,44 +57,6 @@ def _hasher(least: int):
     return hashes
 
 
-def _inserter(bits: int, slice_bits: int):
-    def insert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of one task: the bits it sets, by slice, once and twice."""
-        for batch in batches:
-            joined = b"".join(x for x in batch.column(0).to_pylist() if x)
-            place = np.sort(np.concatenate(_positions(np.frombuffer(joined, np.uint64), bits)))
-            if not len(place):
-                continue
-            once, count = np.unique(place, return_counts=True)
-            number = once // slice_bits
-            cut = np.concatenate(([0], np.flatnonzero(np.diff(number)) + 1, [len(once)]))
-            inner = (once % slice_bits).astype(np.uint32)
-            rows = [(int(number[a]), inner[a:b].tobytes(), inner[a:b][count[a:b] > 1].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["slice", "once", "twice"])
-
-    return insert
-
-
-def _merger(slice_bits: int):
-    def merge(table: pa.Table) -> pa.Table:
-        once, twice = np.zeros(slice_bits, bool), np.zeros(slice_bits, bool)
-        for a, b in zip(table.column("once").to_pylist(), table.column("twice").to_pylist(), strict=True):
-            own = np.frombuffer(a, np.uint32)
-            twice[own[once[own]]] = True
-            once[own] = True
-            twice[np.frombuffer(b, np.uint32)] = True
-        return pa.table({"slice": table.column("slice").slice(0, 1), "bits": pa.array([np.packbits(twice).tobytes()], pa.binary())})
-
-    return merge
-
-
-def _suspected(hashes: np.ndarray, twice: np.ndarray, bits: int) -> np.ndarray:
-    hit = np.ones(len(hashes), bool)
-    for place in _positions(hashes, bits):
-        hit &= (twice[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0
-    return hit
-
-
 def _digest(run: ta.Run, own: ta.Lines, i: int) -> bytes:
     return hashlib.blake2b(ta.LOWER[run.data[own.key_start[i] : own.key_end[i]]].tobytes(), digest_size=16).digest()
 
@@ -106,7 +64,7 @@ def _digest(run: ta.Run, own: ta.Lines, i: int) -> bytes:
 def _suspects(run: ta.Run, own: ta.Lines, twice: np.ndarray, bits: int) -> list[tuple[int, int, bytes]]:
     """(row, hash, digest) of the suspected lines, each once for a row."""
     which = np.flatnonzero(own.long)
-    which = which[_suspected(own.hash[which], twice, bits)]
+    which = which[twice_seen(own.hash[which], twice, bits)]
     rows = np.repeat(np.arange(run.rows), own.per_row)[which]
     return list(dict.fromkeys((int(r), int(own.hash[i].view(np.int64)), _digest(run, own, i)) for r, i in zip(rows, which, strict=True)))
 
@@ -197,14 +155,7 @@ def dedup_lines(docs: DataFrame, *, least_points: int = LEAST_POINTS, least_docs
     work = Workspace(spark, "lines")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hashes = work.save(texts.select("text").mapInArrow(_hasher(least_points), "n long, hashes binary"), "hashes")
-    n = hashes.agg(F.sum("n")).first()[0] or 0
-    bits = min(most_bits, max(SLICE_BITS, 1 << (16 * n - 1).bit_length() if n else 0))
-    slices = hashes.select("hashes").mapInArrow(_inserter(bits, SLICE_BITS), "slice long, once binary, twice binary")
-    merged = slices.groupBy("slice").applyInArrow(_merger(SLICE_BITS), "slice long, bits binary")
-    twice = bytearray(bits // 8)
-    for row in merged.toLocalIterator():  # at most MOST_BITS in all
-        twice[row["slice"] * SLICE_BITS // 8 : (row["slice"] + 1) * SLICE_BITS // 8] = row["bits"]
-    filter_sent = spark.sparkContext.broadcast(bytes(twice))
+    filter_sent, bits = twice_filter(hashes, most_bits)
     counted = texts.mapInArrow(_counter(filter_sent, bits, least_points), "digest binary, hash long, n long, keeper long")
     confirmed = work.save(counted.groupBy("digest").agg(F.min("hash").alias("hash"), F.sum("n").alias("n"), F.max("keeper").alias("keeper")).where(F.col("n") >= least_docs).select("digest", "hash", "keeper"), "confirmed")
     work.drop("hashes")

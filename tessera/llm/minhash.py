@@ -4,14 +4,19 @@
    universal-hash minima as one byte each, and one key per band of minima.
 2. Equal sets collapse to their least id before anything is paired.
 3. Members of a band's bucket are compared with leaders, never with each other:
-   first every document with the least leader of all its buckets, then, in
-   buckets that still hold several components, with one leader of each of a
-   growing number of hash classes.  A leader that has met its bucket leaves it,
-   so each pair of a bucket is met unless already connected, and no step emits
-   the pairs of a group.
-4. A pair goes on if its minima agree often enough, and becomes a link if the
+   first every document with the most central leader of all its buckets (central:
+   with many neighbours over all its buckets).
+4. Buckets that still hold several components lose the members that can't have a
+   link: those of whose shingles too few occur in a second document of such
+   buckets, by a twice-seen Bloom filter.  An unlinked mutation of a text is mostly
+   recognised here, by the words that only it has.
+5. In buckets that still hold several components, members meet one leader of
+   each of a growing number of hash classes.  A leader that has met its bucket
+   leaves it, so each pair of a bucket is met unless already connected or ruled
+   out, and no step emits the pairs of a group.
+6. A pair goes on if its minima agree often enough, and becomes a link if the
    Jaccard similarity of the full sets reaches the threshold.
-5. Components by alternating large-star and small-star.
+7. Components by alternating large-star and small-star.
 
 Results for odd input: null or wordless text has an empty set and is linked with
 nothing; a text of fewer words than a shingle is one shingle; repeated rows of an
@@ -32,12 +37,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import textarrays as ta
+from tessera.llm.bloom import twice_filter, twice_seen
 from tessera.llm.components import connected_components
 from tessera.llm.workspace import Workspace
 
 BANDS, ROWS = 40, 5
 #: Links per verification task: how many texts meet a leader's text in one group.
 MEET = 64
+DEBUG = False
 
 _SIGNED = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()),
@@ -125,6 +132,33 @@ def _confirmer(width: int, percent: int):
     return confirm
 
 
+def _hasher(width: int):
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in ta.runs(batch.column(0)):
+                values, _ = shingle_sets(run, width)
+                yield pa.RecordBatch.from_arrays([pa.array([len(values)], pa.int64()), pa.array([values.tobytes()], pa.binary())], ["n", "hashes"])
+
+    return hashes
+
+
+def _supporter(sent, bits: int, width: int, percent: int):
+    def support(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ids (column 0) of texts (1) of which enough shingles occur twice for a link with a set of at least the size in column 2."""
+        twice = np.frombuffer(sent.value, np.uint8)
+        for batch in batches:
+            ids, least = (np.asarray(batch.column(k)) for k in (0, 2))
+            for run in ta.runs(batch.column(1)):
+                values, begin = shingle_sets(run, width)
+                seen = np.concatenate(([0], np.cumsum(twice_seen(values, twice, bits))))
+                size, common = np.diff(begin), np.diff(seen[begin])
+                other = np.maximum(least[run.first : run.first + run.rows], common)
+                linkable = 100 * common >= percent * (size + other - common)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[run.first : run.first + run.rows][linkable], pa.int64())], ["id"])
+
+    return support
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (least id of its class), kept (it is that id).
 
@@ -142,9 +176,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     groups = work.save(signed.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep")), "groups")
     reps = signed.where("set_key is not null").join(groups.withColumnRenamed("rep", "id"), ["id", "set_key"], "left_semi")
     minima = work.save(reps.groupBy("id").agg(F.min("minima").alias("minima")), "minima")
-    spread = reps.select("id", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1").select("bucket", "leader")
+    spread = reps.select("id", "n_shingles", F.explode("bands").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("n_shingles").alias("least")).where("n > 1")
     members = work.save(spread.join(shared, "bucket").distinct(), "members-0")
+    central = members.groupBy("id").agg(F.sum("n").alias("degree"), F.min("least").alias("least"))
+    known = work.save(central, "central")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Pairs (id, leader) that are links, as (u, v)."""
@@ -159,27 +195,40 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
         work.drop(f"likely-{name}", f"dealt-{name}")
         return found
 
-    # every document with the least leader of all its buckets
-    first = members.where("id <> leader").groupBy("id").agg(F.min("leader").alias("leader"))
+    def unsettled(own: DataFrame, classes: DataFrame) -> DataFrame:
+        """Of (bucket, id): those in buckets with more than one component, with the component."""
+        placed = own.select("bucket", "id").join(classes, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+        split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+        return placed.join(split, "bucket")
+
+    # every document with the most central leader of all its buckets
+    order = F.struct(F.col("degree"), (-F.col("id")).alias("least_id"))
+    heads = members.select("bucket", "id").join(known, "id").groupBy("bucket").agg(F.max(order).alias("head"))
+    first = members.select("bucket", "id").join(heads, "bucket").groupBy("id").agg(F.max("head").alias("head")).select("id", (-F.col("head.least_id")).alias("leader")).where("id <> leader")
     classes = connected_components(confirmed(first, "first"), work, "stars-first")
-    k, classes_count = 0, 1
-    while True:
-        placed = members.select("bucket", "id").join(classes, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-        left = work.save(placed.join(mixed, "bucket"), f"members-{k + 1}")
-        work.drop(f"members-{k}")
-        k += 1
-        if left.isEmpty():
-            break
-        kind = F.pmod(F.xxhash64("id", F.lit(k)), F.lit(classes_count))
-        lead = work.save(left.withColumn("kind", kind).groupBy("bucket", "kind").agg(F.min(F.struct("id", "component")).alias("l")).select("bucket", F.col("l.id").alias("leader"), F.col("l.component").alias("leader_component")), f"lead-{k}")
+
+    left = work.save(unsettled(members, classes), "unsettled-0")
+    if not left.isEmpty():
+        open_ = left.select("id").distinct().join(texts, "id").join(known.select("id", "least"), "id").select("id", "text", "least")
+        open_ = work.save(open_, "open")
+        sent, bits = twice_filter(work.save(open_.select("text").mapInArrow(_hasher(width), "n long, hashes binary"), "open-hashes"))
+        linkable = open_.mapInArrow(_supporter(sent, bits, width, percent), "id long")
+        left = work.save(unsettled(left.join(linkable, "id", "left_semi"), classes), "unsettled-1")
+        work.drop("open", "open-hashes")
+    k, kinds = 1, 1
+    while not left.isEmpty():
+        kind = F.pmod(F.xxhash64("id", F.lit(k)), F.lit(kinds))
+        led = left.join(known.select("id", "degree"), "id").withColumn("kind", kind).groupBy("bucket", "kind").agg(F.max(F.struct("degree", (-F.col("id")).alias("least_id"), "component")).alias("head"))
+        lead = work.save(led.select("bucket", (-F.col("head.least_id")).alias("leader"), F.col("head.component").alias("leader_component")), f"lead-{k}")
         pairs = left.join(lead, "bucket").where("component <> leader_component").select("id", "leader").distinct()
         links = confirmed(pairs, str(k))
         if not links.isEmpty():
             old = classes.select(F.col("id").alias("u"), F.col("component").alias("v"))
             classes = connected_components(old.union(links.select("u", "v")), work, f"stars-{k}")
-        members = left.select("bucket", "id").join(lead.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti")
-        classes_count *= 4
+        met = left.select("bucket", "id").join(lead.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti")
+        k, kinds = k + 1, kinds * 4
+        left = work.save(unsettled(met, classes), f"unsettled-{k}")
+        print(f"near_duplicates: {left.count()} left after round {k}") if DEBUG else None
 
     labels = groups.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("id", "n_shingles", "set_key").join(labels, "set_key", "left")
