@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.chat import render_maximal
 from tessera.llm.decontaminate import contaminated, find_contamination
-from tessera.llm import langid
+from tessera.llm import langid, quality, secrets
 from tessera.llm.linededup import dedup_lines
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.mixing import mix
@@ -39,6 +39,42 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger of the quality rules over every document and the verdict of the current policy."""
+    rows = quality.ledger(read(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality.rejected_by("base").alias("base_failed"),
+        (~quality.rejected_by("base") & ~quality.rejected_by(quality.CURRENT)).alias("kept"), "fail_bits",
+    )
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM d, unnest(range(1, len(w) - 3)) AS r(i)
+), rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+  FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) AS x, unnest(range(i, i + 5)) AS r(p) WHERE n > 1 GROUP BY doc_id
+), m AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM d
+), n AS (
+  SELECT m.doc_id, n_words, word_chars, n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM m LEFT JOIN rep USING (doc_id)
+), f AS (
+  SELECT *, (n_words < 10)::BIGINT AS b0, (100 * n_repeat_words > 20 * n_words)::BIGINT AS b1, (2 * n_symbols > n_words)::BIGINT AS b2,
+         (10 * n_dup_lines > 3 * n_lines)::BIGINT AS b3, (word_chars < 2 * n_words OR word_chars > 15 * n_words)::BIGINT AS b4
+  FROM n
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       b0 + b1 > 0 AS base_failed, b0 + b1 + b2 + b3 + b4 = 0 AS kept, b0 + 2 * b1 + 4 * b2 + 8 * b3 + 16 * b4 AS fail_bits
+FROM f
+"""
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents repeated so that sources weigh as the square root of their size, in shuffled order."""
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_copies", "copy", "shuffle_key")
@@ -82,6 +118,41 @@ SELECT conv_id, n_turns, n_copies, rendered FROM whole WHERE pre NOT IN (SELECT
 """
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    found = secrets.find_secrets(read(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("secrets", lambda s: s["rank"] < len(secrets.BASE))
+    return found.select("doc_id", *(count(r.kind) for r in secrets.BASE), F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("secrets")).alias("spans"))
+
+
+def _op7_sql() -> str:
+    """The same spans from the texts between matches, by RE2."""
+    parts = []
+    for rank, r in enumerate(secrets.RULES):
+        pattern = r.pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, {rank} AS rank, '{r.kind}' AS kind, regexp_extract_all(t, '{pattern}') AS hits,
+          regexp_extract_all(t, '{pattern}', {r.group}) AS checked, string_split_regex(t, '{pattern}') AS gaps, {r.least} AS least FROM d""")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
+), m AS ({" UNION ALL ".join(parts)}
+), s AS (
+  SELECT doc_id, rank, kind, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS b,
+         length(hits[i]) AS n, length(checked[i]) >= least AS ok
+  FROM m, unnest(range(1, len(hits) + 1)) AS r(i)
+), w AS (
+  SELECT doc_id, rank, kind, CAST(b AS BIGINT) AS b, kind || ':' || CAST(b AS BIGINT) || ':' || CAST(b + n AS BIGINT) AS span FROM s WHERE ok
+), g AS (
+  SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
+         string_agg(span, ',' ORDER BY b, rank) FILTER (WHERE rank < 3) AS base, string_agg(span, ',' ORDER BY b, rank) AS spans
+  FROM w GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of at least 40 code points found in five documents stay only in the one of largest id."""
     kept = dedup_lines(read(spark, sf_dir, "documents"))
@@ -147,7 +218,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
     "op3_language_id": op3_language_id,
+    "op5_quality_rules": op5_quality_rules,
     "op6_mix_sources": op6_mix_sources,
+    "op7_secret_scan": op7_secret_scan,
     "op8_line_dedup": op8_line_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_minhash": op10_minhash,
@@ -155,7 +228,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
+    "op5_quality_rules": OP5_SQL,
     "op6_mix_sources": OP6_SQL,
+    "op7_secret_scan": _op7_sql(),
     "op8_line_dedup": OP8_SQL,
     "op9_chat_format": OP9_SQL,
 }
