@@ -40,8 +40,8 @@ def rules() -> Sequence[Rule]:
     return (
         Rule("too_short", words < 10),
         Rule("repeated_windows", 100 * F.col("n_repeat_words") > 20 * words),
-        Rule("symbols", 2 * F.col("n_symbols") > words),
-        Rule("repeated_lines", 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
+        Rule("symbols", 10 * F.col("n_symbols") > words),
+        Rule("repeated_lines", 2 * F.col("n_dup_lines") > F.col("n_lines")),
         Rule("word_length", (F.col("word_chars") < 2 * words) | (F.col("word_chars") > 15 * words)),
     )
 

@@ -64,8 +64,8 @@ WITH d AS (
   SELECT m.doc_id, n_words, word_chars, n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM m LEFT JOIN rep USING (doc_id)
 ), f AS (
-  SELECT *, (n_words < 10)::BIGINT AS b0, (100 * n_repeat_words > 20 * n_words)::BIGINT AS b1, (2 * n_symbols > n_words)::BIGINT AS b2,
-         (10 * n_dup_lines > 3 * n_lines)::BIGINT AS b3, (word_chars < 2 * n_words OR word_chars > 15 * n_words)::BIGINT AS b4
+  SELECT *, (n_words < 10)::BIGINT AS b0, (100 * n_repeat_words > 20 * n_words)::BIGINT AS b1, (10 * n_symbols > n_words)::BIGINT AS b2,
+         (2 * n_dup_lines > n_lines)::BIGINT AS b3, (word_chars < 2 * n_words OR word_chars > 15 * n_words)::BIGINT AS b4
   FROM n
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
