@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.chat import render_maximal
 from tessera.llm.decontaminate import contaminated, find_contamination
 from tessera.llm import langid, quality, secrets
+from tessera.llm.htmltext import extract_text
 from tessera.llm.linededup import dedup_lines
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.mixing import mix
@@ -39,6 +40,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, its branches weighed by the style tree of its host."""
+    return extract_text(read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger of the quality rules over every document and the verdict of the current policy."""
     rows = quality.ledger(read(spark, sf_dir, "documents"))
@@ -218,6 +224,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
     "op3_language_id": op3_language_id,
+    "op4_html_text": op4_html_text,
     "op5_quality_rules": op5_quality_rules,
     "op6_mix_sources": op6_mix_sources,
     "op7_secret_scan": op7_secret_scan,
