@@ -6,17 +6,14 @@
 3. Members of a band's bucket are compared with leaders, never with each other:
    first every document with the most central leader of all its buckets (central:
    with many neighbours over all its buckets).
-4. Buckets that still hold several components lose the members that can't have a
-   link: those of whose shingles too few occur in a second document of such
-   buckets, by a twice-seen Bloom filter.  An unlinked mutation of a text is mostly
-   recognised here, by the words that only it has.
-5. In buckets that still hold several components, members meet one leader of
-   each of a growing number of hash classes.  A leader that has met its bucket
-   leaves it, so each pair of a bucket is met unless already connected or ruled
-   out, and no step emits the pairs of a group.
-6. A pair goes on if its minima agree often enough, and becomes a link if the
+4. What buckets with several components still connect is a family; its members
+   outside its largest component meet the whole family in tiles of bounded size,
+   each a matrix product in one task that gives back links only.  So every pair
+   of a bucket is met unless already connected, and no step emits the pairs of a
+   group.
+5. A pair goes on if its minima agree often enough, and becomes a link if the
    Jaccard similarity of the full sets reaches the threshold.
-7. Components by alternating large-star and small-star.
+6. Components by alternating large-star and small-star.
 
 Results for odd input: null or wordless text has an empty set and is linked with
 nothing; a text of fewer words than a shingle is one shingle; repeated rows of an
@@ -37,14 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import textarrays as ta
-from tessera.llm.bloom import twice_filter, twice_seen
 from tessera.llm.components import connected_components
 from tessera.llm.workspace import Workspace
 
 BANDS, ROWS = 40, 5
 #: Links per verification task: how many texts meet a leader's text in one group.
 MEET = 64
-DEBUG = False
+#: Documents in a tile: still unsettled, of the whole family; shingles in a block of its matrix product.
+OPEN_BLOCK, FAMILY_BLOCK, COLUMNS = 96, 384, 8192
 
 _SIGNED = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()),
@@ -132,31 +129,67 @@ def _confirmer(width: int, percent: int):
     return confirm
 
 
-def _hasher(width: int):
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for run in ta.runs(batch.column(0)):
-                values, _ = shingle_sets(run, width)
-                yield pa.RecordBatch.from_arrays([pa.array([len(values)], pa.int64()), pa.array([values.tobytes()], pa.binary())], ["n", "hashes"])
-
-    return hashes
-
+def _tile(width: int, percent: int):
+    def tile(table: pa.Table) -> pa.Table:
+        """Of one block of unsettled documents (``open``) and one block of their family: the pairs that reach the threshold.
 
-def _supporter(sent, bits: int, width: int, percent: int):
-    def support(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Ids (column 0) of texts (1) of which enough shingles occur twice for a link with a set of at least the size in column 2."""
-        twice = np.frombuffer(sent.value, np.uint8)
-        for batch in batches:
-            ids, least = (np.asarray(batch.column(k)) for k in (0, 2))
-            for run in ta.runs(batch.column(1)):
-                values, begin = shingle_sets(run, width)
-                seen = np.concatenate(([0], np.cumsum(twice_seen(values, twice, bits))))
-                size, common = np.diff(begin), np.diff(seen[begin])
-                other = np.maximum(least[run.first : run.first + run.rows], common)
-                linkable = 100 * common >= percent * (size + other - common)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[run.first : run.first + run.rows][linkable], pa.int64())], ["id"])
-
-    return support
+        All intersections at once: a product of incidence matrices over the shingles that occur twice here.
+        """
+        sets, ids = [], np.asarray(table.column("id").combine_chunks())
+        for run in ta.runs(table.column("text")):
+            values, begin = shingle_sets(run, width)
+            sets += [values[x:y] for x, y in zip(begin[:-1], begin[1:], strict=True)]
+        size = np.array([len(x) for x in sets], np.int64)
+        opened = np.asarray(table.column("open").combine_chunks().cast(pa.int8())).astype(bool)
+        s, m = np.flatnonzero(opened), np.flatnonzero(~opened)
+        _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), size)
+        twice = count > 1
+        column = np.cumsum(twice) - 1
+        use = twice[which]
+        row, column = row[use], column[which[use]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        place = np.zeros(len(sets), np.int64)
+        place[s], place[m] = np.arange(len(s)), np.arange(len(m))
+        common = np.zeros((len(s), len(m)), np.float32)
+        for at in range(0, int(twice.sum()), COLUMNS):
+            x, y = np.searchsorted(column, (at, at + COLUMNS))
+            sides = []
+            for side, n in ((True, len(s)), (False, len(m))):
+                own = np.flatnonzero(opened[row[x:y]] == side) + x
+                matrix = np.zeros((n, COLUMNS), np.float32)
+                matrix[place[row[own]], column[own] - at] = 1
+                sides.append(matrix)
+            common += sides[0] @ sides[1].T
+        common = common.astype(np.int64)
+        links = (100 * common >= percent * (size[s][:, None] + size[m][None, :] - common)) & (common > 0)
+        u, v = np.nonzero(links & (ids[s][:, None] != ids[m][None, :]))
+        return pa.table({"u": pa.array(ids[s][u], pa.int64()), "v": pa.array(ids[m][v], pa.int64())})
+
+    return tile
+
+
+def _within_families(left: DataFrame, texts: DataFrame, work: Workspace, width: int, percent: int) -> DataFrame:
+    """Links that unsettled buckets (bucket, id, component) may still hold, as (u, v).
+
+    A family is what such buckets connect.  Its members outside its largest component
+    meet all of it, in tiles of bounded size: a block of them and a block of the family.
+    """
+    heads = left.groupBy("bucket").agg(F.min("id").alias("head"))
+    families = connected_components(left.join(heads, "bucket").where("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v")).distinct(), work, "families")
+    placed = left.select("id", "component").distinct().join(families.withColumnRenamed("component", "family"), "id")
+    sizes = placed.groupBy("family", "component").agg(F.count("*").alias("n"))
+    family = sizes.groupBy("family").agg(F.max(F.struct("n", (-F.col("component")).alias("least"))).alias("top"), F.sum("n").alias("m"))
+    blocks = lambda n, most: F.greatest(F.ceil(n / F.lit(most)).cast("int"), F.lit(1))
+    family = family.select("family", (-F.col("top.least")).alias("main"), blocks(F.col("m") - F.col("top.n"), OPEN_BLOCK).alias("ns"), blocks(F.col("m"), FAMILY_BLOCK).alias("nm"))
+    placed = work.save(placed.join(family, "family"), "families-placed")
+    s, m = F.pmod(F.xxhash64("id"), F.col("ns")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("nm")).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    opened = placed.where("component <> main").select("family", s.alias("s"), all_of("nm").alias("m"), "id", F.lit(True).alias("open"))
+    members = placed.select("family", all_of("ns").alias("s"), m.alias("m"), "id", F.lit(False).alias("open"))
+    tiles = opened.unionByName(members).join(texts, "id")
+    return work.save(tiles.groupBy("family", "s", "m").applyInArrow(_tile(width, percent), "u long, v long"), "links-families").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,10 +209,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     groups = work.save(signed.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep")), "groups")
     reps = signed.where("set_key is not null").join(groups.withColumnRenamed("rep", "id"), ["id", "set_key"], "left_semi")
     minima = work.save(reps.groupBy("id").agg(F.min("minima").alias("minima")), "minima")
-    spread = reps.select("id", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("n_shingles").alias("least")).where("n > 1")
+    spread = reps.select("id", F.explode("bands").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = work.save(spread.join(shared, "bucket").distinct(), "members-0")
-    central = members.groupBy("id").agg(F.sum("n").alias("degree"), F.min("least").alias("least"))
+    central = members.groupBy("id").agg(F.sum("n").alias("degree"))
     known = work.save(central, "central")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
@@ -207,28 +240,15 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     first = members.select("bucket", "id").join(heads, "bucket").groupBy("id").agg(F.max("head").alias("head")).select("id", (-F.col("head.least_id")).alias("leader")).where("id <> leader")
     classes = connected_components(confirmed(first, "first"), work, "stars-first")
 
-    left = work.save(unsettled(members, classes), "unsettled-0")
+    # a head that all others of its bucket have met is done with that bucket
+    seen = members.select("bucket", "id").join(heads.select("bucket", (-F.col("head.least_id")).alias("head")), "bucket").join(first, "id", "left")
+    met = seen.groupBy("bucket").agg(F.bool_and((F.col("id") == F.col("head")) | F.col("leader").eqNullSafe(F.col("head"))).alias("met"))
+    own = seen.join(met, "bucket").where("not (met and id = head)").select("bucket", "id")
+    left = work.save(unsettled(own, classes), "unsettled")
     if not left.isEmpty():
-        open_ = left.select("id").distinct().join(texts, "id").join(known.select("id", "least"), "id").select("id", "text", "least")
-        open_ = work.save(open_, "open")
-        sent, bits = twice_filter(work.save(open_.select("text").mapInArrow(_hasher(width), "n long, hashes binary"), "open-hashes"))
-        linkable = open_.mapInArrow(_supporter(sent, bits, width, percent), "id long")
-        left = work.save(unsettled(left.join(linkable, "id", "left_semi"), classes), "unsettled-1")
-        work.drop("open", "open-hashes")
-    k, kinds = 1, 1
-    while not left.isEmpty():
-        kind = F.pmod(F.xxhash64("id", F.lit(k)), F.lit(kinds))
-        led = left.join(known.select("id", "degree"), "id").withColumn("kind", kind).groupBy("bucket", "kind").agg(F.max(F.struct("degree", (-F.col("id")).alias("least_id"), "component")).alias("head"))
-        lead = work.save(led.select("bucket", (-F.col("head.least_id")).alias("leader"), F.col("head.component").alias("leader_component")), f"lead-{k}")
-        pairs = left.join(lead, "bucket").where("component <> leader_component").select("id", "leader").distinct()
-        links = confirmed(pairs, str(k))
-        if not links.isEmpty():
-            old = classes.select(F.col("id").alias("u"), F.col("component").alias("v"))
-            classes = connected_components(old.union(links.select("u", "v")), work, f"stars-{k}")
-        met = left.select("bucket", "id").join(lead.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti")
-        k, kinds = k + 1, kinds * 4
-        left = work.save(unsettled(met, classes), f"unsettled-{k}")
-        print(f"near_duplicates: {left.count()} left after round {k}") if DEBUG else None
+        links = _within_families(left, texts, work, width, percent)
+        old = classes.select(F.col("id").alias("u"), F.col("component").alias("v"))
+        classes = connected_components(old.union(links.select("u", "v")), work, "stars-all")
 
     labels = groups.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("id", "n_shingles", "set_key").join(labels, "set_key", "left")
