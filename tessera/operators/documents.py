@@ -11,6 +11,7 @@ from tessera.functions.text import is_bold, is_italic, strip
 _BOX = ("x", "y", "w", "h")
 #: Labels that no context needs.
 FURNITURE = ("page_header", "page_footer", "picture")
+UNSECTIONED = "_unsectioned"
 IOU_FLOOR = 0.3
 
 
@@ -22,15 +23,16 @@ def is_useful(text: Column, label: Column) -> Column:
 def context_sections(fused: DataFrame) -> DataFrame:
     """A12 in rows: (doc_id, section, first, items): sections in order of first sight, items (i, t) in order."""
     useful = fused.where(is_useful(F.col("text"), F.col("block_label")))
-    section = strip(F.coalesce("section_title", F.lit("")))
-    return useful.groupBy("doc_id", section.alias("section")).agg(F.min("item_idx").alias("first"), F.array_sort(F.collect_list(F.struct(F.col("item_idx").alias("i"), strip(F.col("text")).alias("t")))).alias("items"))
+    said = strip(F.coalesce("section_title", F.lit("")))
+    section = F.when(said == "", UNSECTIONED).otherwise(said)
+    return useful.groupBy("doc_id", section.alias("section")).agg(F.min("item_idx").alias("first"), F.array_sort(F.collect_list(F.struct(F.col("item_idx").alias("i"), F.col("text").alias("t")))).alias("items"))
 
 
 def llm_context(fused: DataFrame) -> DataFrame:
     """(doc_id, context): one JSON text per document."""
     sections = context_sections(fused)
     ordered = F.array_sort(F.collect_list(F.struct("first", "section", "items")))
-    shown = F.transform(ordered, lambda s: F.struct(F.nullif(s["section"], F.lit("")).alias("section"), s["items"].alias("items")))
+    shown = F.transform(ordered, lambda s: F.struct(s["section"].alias("title"), s["items"].alias("items")))
     return sections.groupBy("doc_id").agg(F.to_json(F.struct(shown.alias("sections"))).alias("context"))
 
 
