@@ -54,9 +54,13 @@ class Transformer:
     kind: str
     apply: Callable[..., Column]
     options: tuple[str, ...] | None = field(default=None)
+    python: bool = False
 
     def __call__(self, raw: Column, **context: Column) -> Column:
-        return self.apply(raw, **context)
+        if self.python:
+            return self.apply(raw, **context)
+        # bound to a variable once: the cases below name it often, and inlined they outgrow generated code
+        return F.get(F.transform(F.array(raw), lambda r: self.apply(r, **context)), F.lit(0))
 
 
 # --- generic
@@ -455,4 +459,4 @@ def from_python(name: str, kind: str, function: Callable[[str | None], tuple[obj
 
         return run(raw)
 
-    return Transformer(name, kind, apply)
+    return Transformer(name, kind, apply, None, True)

@@ -51,6 +51,13 @@ def _said(value: Column, kind: str) -> Column:
     return F.array_join(value, ",") if kind.startswith("array") else value.cast("string")
 
 
+def _one(transformer: Transformer, context: Mapping[str, Column]) -> Column:
+    """A transformer's verdict with its value as text."""
+    said = lambda t: F.struct(_said(t["normalized"], transformer.kind).alias("said"), t["score"].alias("score"), t["issues"].alias("issues"))
+    own = transformer(F.col("value"), **context)
+    return said(own) if transformer.python else F.get(F.transform(F.array(own), said), F.lit(0))
+
+
 def apply_schema(docs: DataFrame, bound: DataFrame, schema: Schema, rects: DataFrame | None = None, as_of: Column | None = None) -> DataFrame:
     """One row per document and bound field of the schema, and per required field that is missing.
 
@@ -67,14 +74,13 @@ def apply_schema(docs: DataFrame, bound: DataFrame, schema: Schema, rects: DataF
         context["as_of"] = as_of
     typed = None
     for name, f in schema.fields.items():
-        own = f.transformer(F.col("value"), **context)
-        one = F.struct(_said(own["normalized"], f.transformer.kind).alias("said"), own["score"].alias("score"), own["issues"].alias("issues"))
+        one = _one(f.transformer, context)
         typed = F.when(F.col("field_name") == name, one) if typed is None else typed.when(F.col("field_name") == name, one)
-    rows = last.withColumn("t", typed)
+    rows = last.select("*", F.inline(F.array(typed)))  # a generator evaluates the verdict once
     used = F.create_map(*(F.lit(x) for n, f in schema.fields.items() for x in (n, f.transformer.name)))
     found = rows.select(
-        "doc_id", F.col("field_name").alias("field"), F.col("value").alias("raw"), F.col("t.said").alias("normalized_str"), "x", "y", "w", "h", "page", "source_items",
-        F.round(F.col("t.score") * F.col("match_score"), 4).alias("confidence"), used[F.col("field_name")].alias("transform_used"), F.col("t.issues").alias("issues"),
+        "doc_id", F.col("field_name").alias("field"), F.col("value").alias("raw"), F.col("said").alias("normalized_str"), "x", "y", "w", "h", "page", "source_items",
+        F.round(F.col("score") * F.col("match_score"), 4).alias("confidence"), used[F.col("field_name")].alias("transform_used"), "issues",
     )
     required = [n for n, f in schema.fields.items() if f.required]
     if not required:

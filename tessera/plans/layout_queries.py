@@ -10,6 +10,7 @@ from tessera.operators import documents, fuse, pairing, rects, trace
 from tessera.operators.pairing import FieldSpec
 from tessera.plans import layouts
 from tessera.plans.catalog import query
+from tessera.sources.staging import staged
 
 _L = layouts.LAYOUT_SQL
 
@@ -73,7 +74,7 @@ def _relations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 
 
 def fused_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuse.fuse(*_relations(spark, sf_dir))
+    return staged(fuse.fuse(*_relations(spark, sf_dir)), "fused")
 
 
 # --- geometry
@@ -208,7 +209,7 @@ SPECS = [
 def fused_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     form, boxes = layouts.form(spark, sf_dir), layouts.form_rects(spark, sf_dir)
     none = layouts.blocks(spark, sf_dir).where("false")
-    return fuse.fuse(form, none, boxes)
+    return staged(fuse.fuse(form, none, boxes), "form")
 
 
 @query(f"""{_FORM}, rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y, x, item_idx) AS rn FROM form),
