@@ -33,12 +33,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit_logistic(x: Rows, y: np.ndarray, ridge: float = 0.3, most: int = 120) -> tuple[np.ndarray, float]:
-    """Weights and bias; the bias is not penalised. With one class only: no weights and that class's odds, smoothed."""
+    """Weights and bias; the bias is not penalised. With one class only: no weights and that class's odds, smoothed; without rows a probability of 0."""
     n, d = x.shape
+    if n == 0:
+        return np.zeros(d), -35.0
     share = (y.sum() + 0.5) / (n + 1)
     w = np.zeros(d + 1)
     w[d] = np.log(share / (1 - share))
-    if n == 0 or y.min() == y.max():
+    if y.min() == y.max():
         return w[:d], float(w[d])
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:

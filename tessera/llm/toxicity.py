@@ -11,8 +11,8 @@ of least hash; the features come from the same rows.  Every text is scored whole
 
 Results for odd input: null text scores like an empty one; a row with no label in
 a category doesn't train that category; labels repeated for an id count as
-one row with the largest value; without labelled rows, or with one class only, the
-probability is the smoothed share of that class; columns that aren't carried are
+one row with the largest value; with one class only the probability is the
+smoothed share of that class, and without labelled rows it is 0; columns that aren't carried are
 ignored; an empty table gives an empty table.
 """
 
