@@ -13,9 +13,10 @@
    notices, adverts, forms, comments).  If the page marks an article or a main
    part, only that is kept.
 
-A path that holds most of its host's text is never taken for a template, and
-inside a marked article only branches that hardly vary go, so copies of one
-article don't empty each other.
+A path that holds most of its host's remaining text is never taken for a
+template, inside a marked article only branches that hardly vary go, and a host
+whose remaining text hardly varies at all loses nothing: copies of one article
+don't empty each other.
 
 Results for odd input: null or empty html has no text; unclosed and misnested
 tags are closed by the enclosing end; a null url is a host of its own; repeated
@@ -47,7 +48,7 @@ LEAST_PAGES = 8
 LOW, LOW_INSIDE = 0.2, 0.03
 #: Weight of the children in a node's importance.
 INHERITED = 0.9
-MOST_TEXT = 0.5
+MOST_TEXT, LEAST_VARIETY = 0.5, 0.3
 SENT_ROWS = 200_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>", re.S)
@@ -189,6 +190,14 @@ def read_page(source: str) -> tuple[list[Block], dict[str, list[str]]]:
     return blocks, styles
 
 
+def candidates(blocks: Sequence[Block]) -> list[Block]:
+    """Blocks that markup alone leaves: of the articles, else of the main parts, else of the page."""
+    for least in (2, 1, 0):
+        if kept := [b for b in blocks if not b.other and b.inside >= least]:
+            return kept
+    return []
+
+
 def main_text(blocks: Sequence[Block], low: frozenset[str] | set[str] = frozenset()) -> str:
     """The blocks that stay, one to a line; ``low``: style paths of branches that go."""
 
@@ -199,11 +208,7 @@ def main_text(blocks: Sequence[Block], low: frozenset[str] | set[str] = frozense
             path = path.rpartition("/")[0]
         return False
 
-    for least in (2, 1, 0):
-        kept = [b for b in blocks if not b.other and b.inside >= least]
-        if kept:
-            return "\n".join(b.text for b in kept if not (low and gone(b.path)))
-    return ""
+    return "\n".join(b.text for b in candidates(blocks) if not (low and gone(b.path)))
 
 
 def host_of(url: Column) -> Column:
@@ -228,8 +233,10 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for path, children in styles.items():
                 own[path, PAGES, 0] = 0
                 own[path, STYLE, _hash("||".join(children))] = 0
-            for b in blocks:
+            for b in candidates(blocks):
                 own[b.path, PAGES, 0] = own.get((b.path, PAGES, 0), 0) + len(b.text)
+            for b in blocks:
+                own.setdefault((b.path, PAGES, 0), 0)
                 own[b.path, CONTENT, _hash(b.text)] = len(b.text)
             for (path, kind, value), points in own.items():
                 count = seen[host, path, kind, value]
@@ -258,19 +265,20 @@ def _low_branches(table: pa.Table) -> pa.Table:
         below = sum(w * x for w, x in parts) / weight if weight else 1.0
         share = 1 - INHERITED ** max(1, len(children[path])) if children[path] else 0.0
         importance[path] = share * max(r.presentation, below) + (1 - share) * below
-    whole = max(1, own[""].all_points if "" in own else max((r.all_points for r in own.values()), default=1))
+    whole = max(1, sum(r.points for r in own.values()))
+    variety = sum(r.points * r.content for r in own.values()) / whole
     found = []
     for path in sorted(own, key=lambda p: p.count("/")):
         r = own[path]
         inside = "/article" in path or "/main" in path
-        if path and r.m >= LEAST_PAGES and r.all_points and r.all_points < MOST_TEXT * whole and importance[path] < (LOW_INSIDE if inside else LOW) and not any(path.startswith(f + "/") for f in found):
+        if path and variety >= LEAST_VARIETY and r.m >= LEAST_PAGES and r.all_points and r.all_points < MOST_TEXT * whole and importance[path] < (LOW_INSIDE if inside else LOW) and not any(path.startswith(f + "/") for f in found):
             found.append(path)
     host = table.column("host")[0].as_py()
     return pa.table({"host": pa.array([host] * len(found), pa.string()), "path": pa.array(found, pa.string()), "importance": pa.array([importance[p] for p in found], pa.float64())})
 
 
 def site_style_tree(pages: DataFrame) -> DataFrame:
-    """Of (host, html): (host, path, m pages, presentation, content, points) of every style node."""
+    """Of (host, html): (host, path, m pages, presentation, content, points) of every style node; points: code points that markup alone leaves."""
     rows = pages.select("host", "html").mapInArrow(_tree_rows, "host string, path string, kind long, value long, pages long, points long")
     counted = rows.groupBy("host", "path", "kind", "value").agg(F.sum("pages").alias("c"), F.sum("points").alias("points"))
     c = F.col("c").cast("double")

@@ -23,6 +23,11 @@ class Rows:
         own = place[self.row] >= 0
         return Rows(place[self.row[own]], self.col[own], self.val[own], (len(which), self.shape[1]))
 
+    def only(self, columns: np.ndarray) -> Rows:
+        """Other columns (False in ``columns``) count as 0, so a model gives them no weight."""
+        own = columns[self.col]
+        return Rows(self.row[own], self.col[own], self.val[own], self.shape)
+
     def with_column(self, values: np.ndarray) -> Rows:
         n, d = self.shape
         return Rows(np.concatenate((self.row, np.arange(n))), np.concatenate((self.col, np.full(n, d))), np.concatenate((self.val, values)), (n, d + 1))
@@ -32,7 +37,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit_logistic(x: Rows, y: np.ndarray, ridge: float = 0.3, most: int = 120) -> tuple[np.ndarray, float]:
+def fit_logistic(x: Rows, y: np.ndarray, ridge: float = 0.1, most: int = 120) -> tuple[np.ndarray, float]:
     """Weights and bias; the bias is not penalised. With one class only: no weights and that class's odds, smoothed; without rows a probability of 0."""
     n, d = x.shape
     if n == 0:

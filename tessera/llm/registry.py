@@ -21,7 +21,8 @@ from tessera.llm.workspace import read
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-TOXIC_FROM = 0.5
+#: Toxic from this probability on: on held-out labelled rows the clean ones stay under it by far.
+TOXIC_FROM = 0.35
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,8 @@ Categories are predicted one after the other; each later model sees the
 probabilities of the earlier ones, and learns from probabilities that models
 trained without the row gave it (out of fold), as it will meet them on new rows.
 
-Features are words and word beginnings that go with a category by the chi-square
-test over the labelled rows, as presence and as density, and a few shares of
+Features are words and word beginnings that go with a category by the likelihood
+ratio over the labelled rows, as presence and as density, and a few shares of
 characters.  The models are fitted on at most ``SAMPLE_ROWS`` labelled rows, those
 of least hash; the features come from the same rows.  Every text is scored whole.
 
@@ -33,6 +33,8 @@ from tessera.llm.linear import Rows, fit_logistic, sigmoid
 from tessera.llm.workspace import Workspace
 
 SAMPLE_ROWS, FEATURES, FOLDS = 12_000, 256, 5
+#: Features beyond the first few must gain so much: chance gives one in 270,000 as much.
+AT_LEAST, GAIN = 32, 25.0
 #: A density of one in so many words counts fully.
 FULL_DENSITY = 40
 BEGINNINGS = (4, 5, 6, 7)
@@ -131,17 +133,19 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *,
     stats = sample.select("text", *names).mapInArrow(_statistics(len(names)), f"feature string, {counts}")
     stats = work.save(stats.groupBy("feature").agg(*(F.sum(f"{c}{k}").cast("double").alias(f"{c}{k}") for k in range(len(names)) for c in "np")), "features")
     total = sample.agg(*(f(F.col(n)).cast("double").alias(a + n) for n in names for f, a in ((F.count, "n"), (F.sum, "p")))).first()
-    picked: dict[str, None] = {}
+    picked: list[list[str]] = [[] for _ in names]
     for k, n in enumerate(names):
         rows, positive = total["n" + n] or 0.0, total["p" + n] or 0.0
         if not 0 < positive < rows:
             continue
-        a, b = F.col(f"p{k}"), F.col(f"n{k}") - F.col(f"p{k}")
-        chi = rows * F.pow(a * (rows - positive - b) - b * (positive - a), 2) / ((a + b) * (rows - a - b + F.lit(1e-9)) * positive * (rows - positive))
-        best = stats.where(F.col(f"n{k}") >= 4).select("feature", chi.alias("chi")).orderBy(F.desc("chi"), "feature").limit(features)
-        picked |= dict.fromkeys(r["feature"] for r in best.collect())
+        n, a = F.col(f"n{k}"), F.col(f"p{k}")
+        part = lambda x, of: F.when(x > 0, x * F.log(x / of)).otherwise(0.0)
+        # how unlikely the feature's share of positive rows is by chance; sound for small counts too
+        gain = 2 * (part(a, n * (positive / rows)) + part(n - a, n * (1 - positive / rows)))
+        best = stats.where(n >= 3).select("feature", gain.alias("gain")).orderBy(F.desc("gain"), "feature").limit(features).collect()
+        picked[k] = [r["feature"] for i, r in enumerate(best) if i < AT_LEAST or r["gain"] >= GAIN]
 
-    featurize = Featurizer(list(picked))
+    featurize = Featurizer(list(dict.fromkeys(f for own in picked for f in own)))
 
     def featurized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,12 +160,18 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *,
     for k, n in enumerate(names):
         y = frame[n].to_numpy(np.float64, na_value=np.nan)
         with_label = np.flatnonzero(~np.isnan(y))
-        models.append(fit_logistic(x.take(with_label), y[with_label]))
+        # a model sees its own category's features, the shares, and the earlier probabilities
+        own = np.ones(x.shape[1], bool)
+        own[: featurize.width - _N_SHARES] = False
+        for f in picked[k]:
+            own[2 * featurize.place[f] : 2 * featurize.place[f] + 2] = True
+        seen = x.only(own)
+        models.append(fit_logistic(seen.take(with_label), y[with_label]))
         if k + 1 < len(names):
             held = np.zeros(len(frame))
             for f in range(folds):
-                w, b = fit_logistic(x.take(with_label[fold[with_label] != f]), y[with_label[fold[with_label] != f]])
-                held[fold == f] = sigmoid(x.take(np.flatnonzero(fold == f)).times(w) + b)
+                w, b = fit_logistic(seen.take(with_label[fold[with_label] != f]), y[with_label[fold[with_label] != f]])
+                held[fold == f] = sigmoid(seen.take(np.flatnonzero(fold == f)).times(w) + b)
             x = x.with_column(held)
     work.drop("sample", "features")
     return Chain(featurize, models)
