@@ -30,38 +30,55 @@ def _narrow(items: DataFrame) -> DataFrame:
     return items.select(*KEY, *_BOX)
 
 
-def match_blocks(items: DataFrame, blocks: DataFrame) -> DataFrame:
+def _choose(items: DataFrame, others: DataFrame, fits: Column, order: Column) -> DataFrame:
+    """``items`` with ``m``: the least ``order`` among the ``others`` (doc_id as o_doc, page as o_page) of the page that fit, or null.
+
+    The items go along through the aggregate, so a chain of choices deals them out once.
+    """
+    rest = [c for c in items.columns if c not in KEY]
+    near = items.join(others, (F.col("doc_id") == F.col("o_doc")) & (F.col("page") == F.col("o_page")) & fits, "left")
+    best = near.groupBy(*KEY).agg(F.first(F.struct(*rest)).alias("item"), F.min(F.when(F.col("o_doc").isNotNull(), order)).alias("m"))
+    return best.select(*KEY, "item.*", "m")
+
+
+def _others(relation: DataFrame, prefix: str, *columns: str) -> DataFrame:
+    return relation.select(F.col("doc_id").alias("o_doc"), F.col("page").alias("o_page"), *prefixed((*columns, *_BOX), prefix))
+
+
+def with_blocks(items: DataFrame, blocks: DataFrame) -> DataFrame:
     """Per item the smallest block that holds its centre, else the block of largest IoU, else none.
 
-    (doc_id, page, item_idx, block_idx, block_label, block_heading_level, match_method, match_score); ties by area, then block order.
+    Adds block_idx, block_label, block_heading_level, match_method, match_score; ties by area, then block order.
     """
-    b = blocks.select("doc_id", "page", *prefixed(("block_idx", *_BOX, "label", "heading_level"), "b_"))
     i, o = box(), box("b_")
-    near = _narrow(items).join(b, ["doc_id", "page"]).where(o.touches(i))
-    centre = o.holds_centre_of(i)
-    iou = o.iou(i)
-    near = near.where(centre | (iou > 0))
+    centre, iou = o.holds_centre_of(i), o.iou(i)
     order = F.struct(
         F.when(centre, 0).otherwise(1).alias("tier"), F.when(centre, 0.0).otherwise(-iou).alias("k"), o.area.alias("area"), F.col("b_block_idx").alias("block_idx"),
         F.col("b_label").alias("label"), F.col("b_heading_level").alias("level"),
     )
-    best = near.groupBy(*KEY).agg(F.min(order).alias("m"))
-    out = items.select(*KEY).join(best, list(KEY), "left")
+    best = _choose(items, _others(blocks, "b_", "block_idx", "label", "heading_level"), o.touches(i) & (centre | (iou > 0)), order)
     tier = F.col("m.tier")
-    return out.select(
-        *KEY, F.col("m.block_idx").alias("block_idx"), F.col("m.label").alias("block_label"), F.col("m.level").alias("block_heading_level"),
+    return best.select(
+        *items.columns, F.col("m.block_idx").alias("block_idx"), F.col("m.label").alias("block_label"), F.col("m.level").alias("block_heading_level"),
         F.when(tier == 0, "centroid").when(tier == 1, "iou").otherwise("none").alias("match_method"),
         F.round(F.when(tier == 0, 1.0).when(tier == 1, -F.col("m.k")).otherwise(0.0), 4).alias("match_score"),
     )
 
 
-def match_rects(items: DataFrame, rects: DataFrame) -> DataFrame:
-    """Per item the smallest rectangle with an area, not a checkbox, that holds its centre; left join."""
-    r = rects.where(F.col("rect_type") != "checkbox").select("doc_id", "page", *prefixed(("rect_idx", "rect_id", *_BOX), "r_"))
+def with_rects(items: DataFrame, rects: DataFrame) -> DataFrame:
+    """Per item the smallest rectangle with an area, not a checkbox, that holds its centre; adds box_rect_idx, enclosing_box_id."""
     o = box("r_")
-    found = _narrow(items).join(r.where(o.area > 0), ["doc_id", "page"]).where(o.holds_centre_of(box()))
-    best = found.groupBy(*KEY).agg(F.min(F.struct(o.area.alias("area"), F.col("r_rect_idx").alias("rect_idx"), F.col("r_rect_id").alias("rect_id"))).alias("m"))
-    return items.select(*KEY).join(best, list(KEY), "left").select(*KEY, F.col("m.rect_idx").alias("box_rect_idx"), F.col("m.rect_id").alias("enclosing_box_id"))
+    others = _others(rects.where(F.col("rect_type") != "checkbox"), "r_", "rect_idx", "rect_id").where(o.area > 0)
+    best = _choose(items, others, o.holds_centre_of(box()), F.struct(o.area.alias("area"), F.col("r_rect_idx").alias("rect_idx"), F.col("r_rect_id").alias("rect_id")))
+    return best.select(*items.columns, F.col("m.rect_idx").alias("box_rect_idx"), F.col("m.rect_id").alias("enclosing_box_id"))
+
+
+def match_blocks(items: DataFrame, blocks: DataFrame) -> DataFrame:
+    return with_blocks(_narrow(items), blocks).drop(*_BOX)
+
+
+def match_rects(items: DataFrame, rects: DataFrame) -> DataFrame:
+    return with_rects(_narrow(items), rects).drop(*_BOX)
 
 
 def table_cells(rects: DataFrame) -> DataFrame:
@@ -71,15 +88,18 @@ def table_cells(rects: DataFrame) -> DataFrame:
     return rows.select("*", F.posexplode("cells").alias("col", "cell")).select("doc_id", "page", "rect_idx", "rect_id", *(f"t_{c}" for c in _BOX), "row", "col", *(F.col(f"cell.{c}").alias(c) for c in _BOX))
 
 
-def match_cells(items: DataFrame, rects: DataFrame) -> DataFrame:
-    """Per item the first cell in row order, of the smallest table that holds it and has such a cell; left join."""
-    cells = table_cells(rects).select("doc_id", "page", "rect_idx", F.col("rect_id").alias("table_id"), "row", "col", *(f"t_{c}" for c in _BOX), *prefixed(_BOX, "c_"))
+def with_cells(items: DataFrame, rects: DataFrame) -> DataFrame:
+    """Per item the first cell in row order, of the smallest table that holds it and has such a cell; adds table_id, table_row, table_col, cell_*."""
     i, t, c = box(), box("t_"), box("c_")
-    found = _narrow(items).join(cells.where(t.area > 0), ["doc_id", "page"]).where(t.holds_centre_of(i) & c.holds_centre_of(i))
-    order = F.struct(t.area.alias("area"), "rect_idx", "row", "col", "table_id", *(F.col(f"c_{k}") for k in _BOX))
-    best = found.groupBy(*KEY).agg(F.min(order).alias("m"))
-    return items.select(*KEY).join(best, list(KEY), "left").select(
-        *KEY, F.col("m.table_id").alias("table_id"), F.col("m.row").alias("table_row"), F.col("m.col").alias("table_col"), *(F.col(f"m.c_{k}").alias(f"cell_{k}") for k in _BOX))
+    cells = table_cells(rects).where(t.area > 0)
+    others = cells.select(F.col("doc_id").alias("o_doc"), F.col("page").alias("o_page"), *prefixed(("rect_idx", "rect_id", "row", "col", *_BOX), "c_"), *(f"t_{k}" for k in _BOX))
+    order = F.struct(t.area.alias("area"), "c_rect_idx", "c_row", "c_col", "c_rect_id", *(F.col(f"c_{k}") for k in _BOX))
+    best = _choose(items, others, t.holds_centre_of(i) & c.holds_centre_of(i), order)
+    return best.select(*items.columns, F.col("m.c_rect_id").alias("table_id"), F.col("m.c_row").alias("table_row"), F.col("m.c_col").alias("table_col"), *(F.col(f"m.c_{k}").alias(f"cell_{k}") for k in _BOX))
+
+
+def match_cells(items: DataFrame, rects: DataFrame) -> DataFrame:
+    return with_cells(_narrow(items), rects).drop(*_BOX)
 
 
 def section_titles(boxed: DataFrame) -> DataFrame:
@@ -91,11 +111,12 @@ def section_titles(boxed: DataFrame) -> DataFrame:
 
 def fuse(items: DataFrame, blocks: DataFrame, rects: DataFrame) -> DataFrame:
     """A4: items with their block, box, section title (A2) and table cell."""
-    keys = list(KEY)
-    joined = items.join(match_blocks(items, blocks), keys).join(match_rects(items, rects), keys).join(match_cells(items, rects), keys)
-    titled = joined.join(section_titles(joined.select("doc_id", "enclosing_box_id", "text", "font_size", "y", "item_idx")), ["doc_id", "enclosing_box_id"], "left")
-    title = F.when(strip(F.col("text")) != F.col("title"), F.col("title"))
-    return titled.withColumn("section_title", title).drop("title")
+    matched = with_cells(with_rects(with_blocks(items, blocks), rects), rects)
+    by_box = Window.partitionBy("doc_id", "enclosing_box_id")
+    order = F.struct(F.coalesce("font_size", F.lit(0.0)), -F.col("y"), -F.col("item_idx"))
+    title = strip(F.max_by("text", order).over(by_box))
+    titled = F.when(F.col("enclosing_box_id").isNotNull() & (title != "") & (strip(F.col("text")) != title), title)
+    return matched.withColumn("section_title", titled)
 
 
 def fusion_stats(fused: DataFrame) -> DataFrame:
@@ -123,7 +144,3 @@ def point_lookup(relation: DataFrame, **key: object) -> DataFrame:
     if found.isEmpty():
         raise KeyError(key)
     return found
-
-
-def page_window() -> Window:
-    return Window.partitionBy("doc_id", "page")

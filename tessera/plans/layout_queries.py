@@ -128,8 +128,7 @@ def fused_table_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH items AS ({_L['items']}), rects AS ({_L['rects']}), {_MR}, {_TITLES} SELECT * FROM titles")
 def fused_section_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = layouts.items(spark, sf_dir)
-    return fuse.section_titles(fuse.match_rects(items, layouts.rects(spark, sf_dir)).join(items, list(fuse.KEY)))
+    return fuse.section_titles(fuse.with_rects(layouts.items(spark, sf_dir), layouts.rects(spark, sf_dir)))
 
 
 _FUSED_COLUMNS = "doc_id, item_idx, page, text, block_label, block_heading_level, match_method, match_score, enclosing_box_id, section_title, table_id, table_row, table_col, cell_x, cell_y"
@@ -144,7 +143,7 @@ def fused_items_full(spark: SparkSession, sf_dir: str) -> DataFrame:
   round(count(*) FILTER (WHERE match_method <> 'none') / CAST(count(*) AS DOUBLE), 4) AS coverage FROM mb JOIN mr USING (doc_id, item_idx) GROUP BY mb.doc_id""")
 def fusion_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, blocks, own = _relations(spark, sf_dir)
-    return fuse.fusion_stats(fuse.match_blocks(items, blocks).join(fuse.match_rects(items, own), list(fuse.KEY)))
+    return fuse.fusion_stats(fuse.with_rects(fuse.with_blocks(items, blocks), own))
 
 
 @query(f"{FUSED_SQL} SELECT doc_id, item_idx, text FROM fused WHERE enclosing_box_id = 'p1-r4'")
