@@ -216,6 +216,23 @@ FROM marked GROUP BY doc_id
 """
 
 
+#: All pairs through an inverted index: fit for small tables only.
+OP10_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g FROM w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS r(i) WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM w UNION SELECT reach.doc_id, e.b FROM reach JOIN e ON reach.other = e.a
+), comp AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM comp LEFT JOIN n USING (doc_id)
+"""
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose sets of 2-word shingles reach a Jaccard similarity of 0.8."""
     return near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
@@ -241,4 +258,5 @@ SQL: dict[str, str] = {
     "op7_secret_scan": _op7_sql(),
     "op8_line_dedup": OP8_SQL,
     "op9_chat_format": OP9_SQL,
+    "op10_minhash": OP10_SQL,
 }

@@ -38,6 +38,8 @@ AT_LEAST, GAIN = 32, 25.0
 #: A density of one in so many words counts fully.
 FULL_DENSITY = 40
 BEGINNINGS = (4, 5, 6, 7)
+#: Features that a task counts before it hands them on.
+STATISTICS = 500_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SYMBOL = re.compile(r"[#*$%&|<>{}\\^~=+]")
@@ -56,21 +58,35 @@ def _counted(text: str) -> tuple[Counter, int, int]:
 
 
 def _statistics(n_labels: int):
+    names = ["feature", *(str(k) for k in range(2 * n_labels))]
+
+    def rows(seen: dict[tuple, Counter]) -> pa.RecordBatch:
+        # features by which labels their rows had: a few patterns of labels, each with a counter
+        total: dict[str, list[int]] = {}
+        for own, counted in seen.items():
+            for f, n in counted.items():
+                at = total.setdefault(f, [0] * (2 * n_labels))
+                for k, y in enumerate(own):
+                    if y is not None:
+                        at[2 * k] += n
+                        at[2 * k + 1] += n * y
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), *(pa.array([v[k] for v in total.values()], pa.int64()) for k in range(2 * n_labels))], names)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each batch: features with the number of labelled rows and of positive ones, by category."""
+        """Of some texts at a time: features with the number of labelled rows and of positive ones, by category."""
         for batch in batches:
             labels = list(zip(*(batch.column(1 + k).to_pylist() for k in range(n_labels)), strict=True))
-            seen: dict[str, np.ndarray] = {}
+            seen: dict[tuple, Counter] = {}
+            size = 0
             for text, own in zip(batch.column(0).to_pylist(), labels, strict=True):
-                add = np.array([x for y in own for x in ((0, 0) if y is None else (1, y))])
-                for feature in {f for w in _counted(text or "")[0] for f in (w, *("^" + w[:b] for b in BEGINNINGS if len(w) >= b))}:
-                    if feature in seen:
-                        seen[feature] += add
-                    else:
-                        seen[feature] = add.copy()
+                found = {f for w in _counted(text or "")[0] for f in (w, *("^" + w[:b] for b in BEGINNINGS if len(w) >= b))}
+                seen.setdefault(own, Counter()).update(found)
+                size += len(found)
+                if size > STATISTICS:
+                    yield rows(seen)
+                    seen, size = {}, 0
             if seen:
-                table = np.stack(list(seen.values()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array(table[:, k], pa.int64()) for k in range(2 * n_labels))], ["feature", *(str(k) for k in range(2 * n_labels))])
+                yield rows(seen)
 
     return count
 
