@@ -34,7 +34,7 @@ from tessera.llm.workspace import Workspace
 
 SAMPLE_ROWS, FEATURES, FOLDS = 12_000, 256, 5
 #: Features beyond the first few must gain so much: chance gives one in 270,000 as much.
-AT_LEAST, GAIN = 32, 25.0
+AT_LEAST, GAIN = 64, 25.0
 #: A density of one in so many words counts fully.
 FULL_DENSITY = 40
 BEGINNINGS = (4, 5, 6, 7)
