@@ -31,7 +31,7 @@ from tessera.llm.workspace import Workspace
 WIDTH = 13
 #: Code points of benchmark text that a block may hold.
 BLOCK_POINTS = 4 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 _SPANS_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 
 #: byte -> byte with A-Z lower-cased
 LOWER = np.arange(256, dtype=np.uint8)
