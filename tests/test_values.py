@@ -164,6 +164,24 @@ def test_cache(spark, tmp_path):
     assert memory.get("x").count() == 2 and memory.get("y") is None
 
 
+def test_cached_runs(spark, tmp_path):
+    import tessera
+
+    items, blocks, boxes = relations(spark)
+    twice = items.union(items.withColumn("doc_id", F.lit(2).cast("long")))
+    boxes = boxes.union(boxes.withColumn("doc_id", F.lit(2).cast("long")))
+    docs = spark.createDataFrame([(1, "same"), (2, "same")], "doc_id long, content string")
+    run = tessera.Pipeline(SCHEMA, cache=TableCache(spark, f"file://{tmp_path}/runs"))
+    first = run.run_cached(docs, twice, blocks, boxes).collect()
+    assert len(first) == 6 and not any(r.cache_hit for r in first)
+    seen = []
+    again = tessera.Pipeline(SCHEMA, cache=run.cache, callback=seen.append).run_cached(docs.union(spark.createDataFrame([(3, "same")], docs.schema)), twice, blocks, boxes).collect()
+    assert len(again) == 9 and all(r.cache_hit for r in again) and {r.raw for r in again if r.doc_id == 3} == {"51789286W", "ZAIDAN HASSAN", ""}
+    assert tessera.register_views("t_", items=items) == ["t_items"] and spark.sql("SELECT count(*) FROM t_items").first()[0] == 6
+    steps = list(tessera.Pipeline(SCHEMA).stream(items, blocks, boxes))
+    assert [s.name for s in steps[:-1]] == list(PLAIN_STEPS)
+
+
 def test_steps():
     now = iter(range(100))
     log = StepLog(9, clock=lambda: float(next(now)))
