@@ -42,6 +42,8 @@ BANDS, ROWS = 40, 5
 MEET = 64
 #: Documents in a tile: still unsettled, of the whole family; shingles in a block of its matrix product.
 OPEN_BLOCK, FAMILY_BLOCK, COLUMNS = 96, 384, 8192
+#: Shingles that make a document of a tile count as a further one.
+HEAVY = 2000
 
 _SIGNED = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()),
@@ -170,16 +172,17 @@ def _tile(width: int, percent: int):
     return tile
 
 
-def _within_families(left: DataFrame, texts: DataFrame, work: Workspace, width: int, percent: int) -> DataFrame:
+def _within_families(left: DataFrame, weights: DataFrame, texts: DataFrame, work: Workspace, width: int, percent: int) -> DataFrame:
     """Links that unsettled buckets (bucket, id, component) may still hold, as (u, v).
 
     A family is what such buckets connect.  Its members outside its largest component
-    meet all of it, in tiles of bounded size: a block of them and a block of the family.
+    meet all of it, in tiles of bounded size: a block of them and a block of the family,
+    in which a long document counts for several.
     """
     heads = left.groupBy("bucket").agg(F.min("id").alias("head"))
     families = connected_components(left.join(heads, "bucket").where("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v")).distinct(), work, "families")
-    placed = left.select("id", "component").distinct().join(families.withColumnRenamed("component", "family"), "id")
-    sizes = placed.groupBy("family", "component").agg(F.count("*").alias("n"))
+    placed = left.select("id", "component").distinct().join(families.withColumnRenamed("component", "family"), "id").join(weights, "id")
+    sizes = placed.groupBy("family", "component").agg(F.sum("weight").alias("n"))
     family = sizes.groupBy("family").agg(F.max(F.struct("n", (-F.col("component")).alias("least"))).alias("top"), F.sum("n").alias("m"))
     blocks = lambda n, most: F.greatest(F.ceil(n / F.lit(most)).cast("int"), F.lit(1))
     family = family.select("family", (-F.col("top.least")).alias("main"), blocks(F.col("m") - F.col("top.n"), OPEN_BLOCK).alias("ns"), blocks(F.col("m"), FAMILY_BLOCK).alias("nm"))
@@ -208,7 +211,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
 
     groups = work.save(signed.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep")), "groups")
     reps = signed.where("set_key is not null").join(groups.withColumnRenamed("rep", "id"), ["id", "set_key"], "left_semi")
-    minima = work.save(reps.groupBy("id").agg(F.min("minima").alias("minima")), "minima")
+    minima = work.save(reps.groupBy("id").agg(F.min("minima").alias("minima"), F.max("n_shingles").alias("n_shingles")), "minima")
     spread = reps.select("id", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = work.save(spread.join(shared, "bucket").distinct(), "members-0")
@@ -246,7 +249,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     own = seen.join(met, "bucket").where("not (met and id = head)").select("bucket", "id")
     left = work.save(unsettled(own, classes), "unsettled")
     if not left.isEmpty():
-        links = _within_families(left, texts, work, width, percent)
+        weights = minima.select("id", (1 + F.floor(F.col("n_shingles") / HEAVY)).cast("long").alias("weight"))
+        links = _within_families(left, weights, texts, work, width, percent)
         old = classes.select(F.col("id").alias("u"), F.col("component").alias("v"))
         classes = connected_components(old.union(links.select("u", "v")), work, "stars-all")
 
