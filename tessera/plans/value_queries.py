@@ -252,7 +252,7 @@ def label_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _needles(spark: SparkSession, sf_dir: str, value: str) -> DataFrame:
-    """Every benchmark passage against every fifteenth document: the stated queries of the binding."""
+    """A fortieth of the pairs of document and passage, as the SQL of these queries states them; the ``_whole`` queries search them all."""
     items = layouts.table(spark, sf_dir, "benchmark").selectExpr("CAST(item_id AS INT) AS field_pos", "concat('item_', CAST(item_id AS STRING)) AS field_name", f"{value} AS value", "item_id")
     docs = layouts.table(spark, sf_dir, "documents").select("doc_id")
     return docs.join(items, F.col("doc_id") % 40 == F.col("item_id") % 40).select("doc_id", "field_pos", "field_name", "value")
@@ -277,6 +277,17 @@ def bind_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tiers(spark, sf_dir, "text")
 
 
+def _everywhere(spark: SparkSession, sf_dir: str, value: str, fuzzy_threshold: float | None) -> DataFrame:
+    """Every benchmark passage in every document."""
+    values = layouts.table(spark, sf_dir, "benchmark").selectExpr("CAST(item_id AS INT) AS field_pos", "concat('item_', CAST(item_id AS STRING)) AS field_name", f"{value} AS value")
+    return binding.search_values(values, layouts.table(spark, sf_dir, "documents"), binding.haystacks(layouts.prose(spark, sf_dir)), fuzzy_threshold)
+
+
+@query()
+def bind_substring_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _everywhere(spark, sf_dir, "text", None).select("doc_id", "field_pos", "match_method", "match_score", F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("size"))
+
+
 _SOFT = "concat('¡', replace({}, ' ', '! '), '?')"
 
 
@@ -304,14 +315,27 @@ _SOURCES = f"""sp AS (SELECT f.doc_id, field_pos, pi.* EXCLUDE (doc_id) FROM f J
  bound AS (SELECT f.doc_id, f.field_pos, {_METHOD}, source_items, u.x, u.y, u.w, u.h, page, section_title, block_label FROM f LEFT JOIN u USING (doc_id, field_pos) LEFT JOIN lb ON lb.doc_id = f.doc_id AND lb.field_pos = f.field_pos AND k = 1)"""
 
 
+def _bound_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binding.bind_found(staged(_everywhere(spark, sf_dir, "text", None), "found"), _fused_prose(spark, sf_dir))
+
+
 def _bound_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binding.bind(_needles(spark, sf_dir, "text"), _fused_prose(spark, sf_dir), None)
 
 
+def _sources(bound: DataFrame) -> DataFrame:
+    said = F.array_join(F.transform("source_items", lambda i: i.cast("string")), ",")
+    return bound.select("doc_id", "field_pos", "match_method", "match_score", said.alias("source_items"), "x", "y", "w", "h", "page", "section_title", "block_label")
+
+
 @query(f"WITH {_HAY}, {_NEED.format('b.text')}, {_TIERS}, {_PROSE}, {_SOURCES} SELECT doc_id, field_pos, match_method, match_score, coalesce(source_items, '') AS source_items, x, y, w, h, page, section_title, block_label FROM bound")
 def bind_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.array_join(F.transform("source_items", lambda i: i.cast("string")), ",")
-    return _bound_prose(spark, sf_dir).select("doc_id", "field_pos", "match_method", "match_score", said.alias("source_items"), "x", "y", "w", "h", "page", "section_title", "block_label")
+    return _sources(_bound_prose(spark, sf_dir))
+
+
+@query()
+def bind_sources_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sources(_bound_everywhere(spark, sf_dir))
 
 
 @query()
@@ -339,6 +363,19 @@ def issues_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binding.issue_types(issues).select("doc_id", F.array_join("issue_types", ",").alias("issue_types"))
 
 
+@query()
+def issues_all_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binding.collect_issues(_bound_everywhere(spark, sf_dir), "flag", 0.94).select("doc_id", "field_pos", "issue_type", "severity")
+
+
+@query()
+def issues_by_type_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every document, empty where it has no issue."""
+    issues = binding.collect_issues(_bound_everywhere(spark, sf_dir), "drop", 0.94)
+    docs = layouts.table(spark, sf_dir, "documents").select("doc_id").distinct()
+    return docs.join(binding.issue_types(issues), "doc_id", "left").select("doc_id", F.coalesce(F.array_join("issue_types", ","), F.lit("")).alias("issue_types"))
+
+
 # --- JSON
 
 _JSON = """concat('{"a":{"type":"', event_type, '","n":', CAST(user_id AS STRING), '},"l":["x",null,', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE '""' END, '],"p":', props, '}')"""
