@@ -296,6 +296,12 @@ def bind_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tiers(spark, sf_dir, _SOFT.format("substr(text, 1, 20)"))
 
 
+@query()
+def bind_soft_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage with punctuation inserted throughout, in every document."""
+    return _everywhere(spark, sf_dir, _SOFT.format("text"), None).select("doc_id", "field_pos", "match_method", "match_score", F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("size"))
+
+
 @query(f"WITH {_HAY}, need AS (SELECT doc_id, 0 AS field_pos, '  ' || text || chr(9) AS value FROM documents), {_TIERS} SELECT doc_id, field_pos, {_METHOD} FROM f")
 def bind_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = layouts.table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("field_pos"), F.lit("all").alias("field_name"), F.concat(F.lit("  "), "text", F.lit("\t")).alias("value"))
@@ -340,10 +346,9 @@ def bind_sources_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bind_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short altered copies of the passages' beginnings."""
-    value = "concat(substr(text, 1, 12), 'zq', substr(text, 14, 22))"
-    found = binding.match_values(_needles(spark, sf_dir, value), binding.haystacks(layouts.prose(spark, sf_dir)), 0.85)
-    return found.select("doc_id", "field_pos", "match_method", "match_score")
+    """Every passage with one letter replaced, in every document."""
+    value = "concat(substr(text, 1, 12), CASE WHEN substr(text, 13, 1) = 'q' THEN 'z' ELSE 'q' END, substr(text, 14))"
+    return _everywhere(spark, sf_dir, value, binding.FUZZY_FROM).select("doc_id", "field_pos", "match_method", "match_score")
 
 
 _ISSUES = f"""WITH {_HAY}, {_NEED.format('b.text')}, {_TIERS}, {_PROSE}, {_SOURCES}, issues AS (

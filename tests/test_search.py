@@ -77,3 +77,16 @@ def test_every_pair_is_searched(spark, tables):
     lost = {(r.doc_id, r.field_pos) for r in issues if r.issue_type == "hallucination"}
     assert lost == {k for k, method in got.items() if method == "not_found"}
     assert {r.doc_id: r.issue_types for r in QUERIES["issues_by_type_whole"](spark, tables).collect()}[2] == "role_mismatch"
+
+
+def test_whole_passages_are_altered(spark, tables):
+    """A passage whose beginning is missing is found, one that shares only the beginning is not."""
+    q = {k: v if v is None else v[:12] + ("z" if v[12:13] == "q" else "q") + v[13:] for k, v in PASSAGES.items()}
+    fuzzy = {(r.doc_id, r.field_pos): (r.match_method, r.match_score) for r in QUERIES["bind_fuzzy"](spark, tables).collect()}
+    assert fuzzy == {k: v[:2] for k, v in brute(q, TEXTS, 0.85).items()}
+    assert fuzzy[7, 2][0] == fuzzy[6, 0][0] == "fuzzy"
+    docs = spark.createDataFrame([(1, "x " + PASSAGES[0] + " y"), (2, PASSAGES[0][:20] + " " + made(11, 40))], "doc_id long, text string")
+    docs.write.mode("overwrite").parquet(f"{tables}/documents.parquet")
+    soft = {(r.doc_id, r.field_pos): (r.match_method, r.match_score) for r in QUERIES["bind_soft_whole"](spark, tables).collect()}
+    assert soft[1, 0] == ("substring", 0.9) and soft[2, 0][0] == "not_found"
+    assert QUERIES["bind_fuzzy"](spark, tables).where("doc_id = 2 AND field_pos = 0 AND match_method <> 'not_found'").isEmpty()
