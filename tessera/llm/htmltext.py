@@ -13,10 +13,11 @@
    notices, adverts, forms, comments).  If the page marks an article or a main
    part, only that is kept.
 
-A path that holds most of its host's remaining text is never taken for a
-template, inside a marked article only branches that hardly vary go, and a host
-whose remaining text hardly varies at all loses nothing: copies of one article
-don't empty each other.
+Pages of a host whose text is equal after markup alone count as one page
+together, so copies of one article don't empty each other however much of the
+host they are.  A branch that holds most of its host's varying text is never
+taken for a template (parts of it may be), and inside a marked article only
+branches that hardly vary go.
 
 Results for odd input: null or empty html has no text; unclosed and misnested
 tags are closed by the enclosing end; a null url is a host of its own; repeated
@@ -48,7 +49,7 @@ LEAST_PAGES = 8
 LOW, LOW_INSIDE = 0.2, 0.03
 #: Weight of the children in a node's importance.
 INHERITED = 0.9
-MOST_TEXT, LEAST_VARIETY = 0.5, 0.3
+MOST_VARIED = 0.5
 SENT_ROWS = 200_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>", re.S)
@@ -223,27 +224,45 @@ def _hash(text: str) -> int:
 PAGES, STYLE, CONTENT = 0, 1, 2
 
 
-def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each batch: (host, path, kind, value) with the number of pages and code points."""
+def _content_key(blocks: Sequence[Block]) -> int:
+    return _hash("\n".join(b.text for b in candidates(blocks)))
+
+
+def _content_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
-        for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            blocks, styles = read_page(source or "")
-            own: dict[tuple, int] = {}
-            for path, children in styles.items():
-                own[path, PAGES, 0] = 0
-                own[path, STYLE, _hash("||".join(children))] = 0
-            for b in candidates(blocks):
-                own[b.path, PAGES, 0] = own.get((b.path, PAGES, 0), 0) + len(b.text)
-            for b in blocks:
-                own.setdefault((b.path, PAGES, 0), 0)
-                own[b.path, CONTENT, _hash(b.text)] = len(b.text)
-            for (path, kind, value), points in own.items():
-                count = seen[host, path, kind, value]
-                count[0] += 1
-                count[1] += points
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), *(pa.array([k[i] for k in seen], pa.int64()) for i in (2, 3)), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in (0, 1))], ["host", "path", "kind", "value", "pages", "points"])
+        keys = [_content_key(read_page(source or "")[0]) for source in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), *batch.columns[2:]], ["host", "key", *batch.schema.names[2:]])
+
+
+def _tree_rows(sent):
+    """``sent``: number of pages by (host, key of equal text), where more than one; without it the third column says so."""
+
+    def tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each batch: (host, path, kind, value) with the number of pages, each set of equal ones counted once, code points, and all pages."""
+        for batch in batches:
+            seen: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0, 0])
+            equal = batch.column(2).to_pylist() if sent is None else [None] * batch.num_rows
+            for host, source, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), equal, strict=True):
+                blocks, styles = read_page(source or "")
+                weight = 1.0 / (n or 1 if sent is None else sent.value.get((host, _content_key(blocks)), 1))
+                own: dict[tuple, int] = {}
+                for path, children in styles.items():
+                    own[path, PAGES, 0] = 0
+                    own[path, STYLE, _hash("||".join(children))] = 0
+                for b in candidates(blocks):
+                    own[b.path, PAGES, 0] = own.get((b.path, PAGES, 0), 0) + len(b.text)
+                for b in blocks:
+                    own.setdefault((b.path, PAGES, 0), 0)
+                    own[b.path, CONTENT, _hash(b.text)] = len(b.text)
+                for (path, kind, value), points in own.items():
+                    count = seen[host, path, kind, value]
+                    count[0] += weight
+                    count[1] += weight * points
+                    count[2] += 1
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), *(pa.array([k[i] for k in seen], pa.int64()) for i in (2, 3)), *(pa.array([v[i] for v in seen.values()], t) for i, t in enumerate((pa.float64(), pa.float64(), pa.int64())))], ["host", "path", "kind", "value", "pages", "points", "all_pages"])
+
+    return tree_rows
 
 
 def _low_branches(table: pa.Table) -> pa.Table:
@@ -265,31 +284,49 @@ def _low_branches(table: pa.Table) -> pa.Table:
         below = sum(w * x for w, x in parts) / weight if weight else 1.0
         share = 1 - INHERITED ** max(1, len(children[path])) if children[path] else 0.0
         importance[path] = share * max(r.presentation, below) + (1 - share) * below
-    whole = max(1, sum(r.points for r in own.values()))
-    variety = sum(r.points * r.content for r in own.values()) / whole
+    varied: Counter = Counter()
+    for path, r in own.items():
+        varied[path] += r.points * r.content
+        above = path
+        while above:
+            above = above.rpartition("/")[0]
+            varied[above] += r.points * r.content
+    whole = sum(r.points * r.content for r in own.values())
     found = []
     for path in sorted(own, key=lambda p: p.count("/")):
         r = own[path]
         inside = "/article" in path or "/main" in path
-        if path and variety >= LEAST_VARIETY and r.m >= LEAST_PAGES and r.all_points and r.all_points < MOST_TEXT * whole and importance[path] < (LOW_INSIDE if inside else LOW) and not any(path.startswith(f + "/") for f in found):
+        if path and r.all_pages >= LEAST_PAGES and r.all_points and varied[path] < MOST_VARIED * whole and importance[path] < (LOW_INSIDE if inside else LOW) and not any(path.startswith(f + "/") for f in found):
             found.append(path)
     host = table.column("host")[0].as_py()
     return pa.table({"host": pa.array([host] * len(found), pa.string()), "path": pa.array(found, pa.string()), "importance": pa.array([importance[p] for p in found], pa.float64())})
 
 
-def site_style_tree(pages: DataFrame) -> DataFrame:
-    """Of (host, html): (host, path, m pages, presentation, content, points) of every style node; points: code points that markup alone leaves."""
-    rows = pages.select("host", "html").mapInArrow(_tree_rows, "host string, path string, kind long, value long, pages long, points long")
-    counted = rows.groupBy("host", "path", "kind", "value").agg(F.sum("pages").alias("c"), F.sum("points").alias("points"))
+def site_style_tree(pages: DataFrame, work: Workspace | None = None, sent_rows: int = SENT_ROWS) -> DataFrame:
+    """Of (host, html): (host, path, m pages, all pages, presentation, content, points) of every style node; m counts pages of equal text once, points: code points that markup alone leaves.
+
+    The sets of equal pages are sent to the tasks while they are at most ``sent_rows``, else joined.
+    """
+    work = work or Workspace(pages.sparkSession, "html")
+    html = pages.select("host", "html")
+    equal = work.save(html.mapInArrow(_content_keys, "host string, key long").groupBy("host", "key").agg(F.count("*").alias("n")).where("n > 1"), "equal")
+    if equal.count() <= sent_rows:
+        sent = pages.sparkSession.sparkContext.broadcast({(r["host"], r["key"]): r["n"] for r in equal.toLocalIterator()})
+    else:
+        sent = None
+        html = html.select("host", "html", F.col("html").alias("again")).mapInArrow(_content_keys, "host string, key long, again string").join(equal, ["host", "key"], "left").select("host", F.col("again").alias("html"), "n")
+    rows = html.mapInArrow(_tree_rows(sent), "host string, path string, kind long, value long, pages double, points double, all_pages long")
+    # rounded, so that sums of shares don't depend on their order
+    counted = rows.groupBy("host", "path", "kind", "value").agg(F.round(F.sum("pages"), 6).alias("c"), F.round(F.sum("points"), 3).alias("points"), F.sum("all_pages").alias("all_pages")).where("c > 0")
     c = F.col("c").cast("double")
     m = F.max(F.when(F.col("kind") == PAGES, F.col("c")))
     total = lambda x, kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, x)), F.lit(0.0))
-    nodes = counted.groupBy("host", "path").agg(m.alias("m"), total(F.col("points"), PAGES).cast("long").alias("points"), total(c, STYLE).alias("ns"), total(c * F.log(c), STYLE).alias("es"), total(c, CONTENT).alias("nc"), total(c * F.log(c), CONTENT).alias("ec"))
+    nodes = counted.groupBy("host", "path").agg(m.alias("m"), total(F.col("points"), PAGES).alias("points"), F.max(F.when(F.col("kind") == PAGES, F.col("all_pages"))).alias("all_pages"), total(c, STYLE).alias("ns"), total(c * F.log(c), STYLE).alias("es"), total(c, CONTENT).alias("nc"), total(c * F.log(c), CONTENT).alias("ec"))
     log_m = F.log(F.col("m").cast("double"))
     # entropies to base m: of the page over its child styles, and of each text over the pages that have it
     presentation = F.when(F.col("m") < 2, 1.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.try_divide(F.log("ns") - F.try_divide(F.col("es"), F.col("ns")), log_m), F.lit(0.0))))
-    content = F.when(F.col("m") < 2, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.coalesce(F.try_divide(F.col("ec"), F.col("nc") * log_m), F.lit(0.0))))
-    return nodes.select("host", "path", F.coalesce("m", F.lit(0)).alias("m"), presentation.alias("presentation"), content.alias("content"), "points")
+    content = F.when(F.col("m") < 2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.coalesce(F.try_divide(F.col("ec"), F.col("nc") * log_m), F.lit(0.0)))))
+    return nodes.select("host", "path", F.coalesce("m", F.lit(0.0)).alias("m"), F.coalesce("all_pages", F.lit(0)).alias("all_pages"), presentation.alias("presentation"), content.alias("content"), "points")
 
 
 def _with_all_points(nodes: pd.DataFrame) -> pd.DataFrame:
@@ -302,9 +339,9 @@ def _with_all_points(nodes: pd.DataFrame) -> pd.DataFrame:
     return nodes.assign(all_points=[total[p] for p in nodes["path"]])
 
 
-def low_branches(pages: DataFrame) -> DataFrame:
+def low_branches(pages: DataFrame, work: Workspace | None = None, sent_rows: int = SENT_ROWS) -> DataFrame:
     """(host, path) of the branches that the trees of the hosts of (host, html) call unimportant."""
-    return site_style_tree(pages).groupBy("host").applyInArrow(_low_branches, "host string, path string, importance double")
+    return site_style_tree(pages, work, sent_rows).groupBy("host").applyInArrow(_low_branches, "host string, path string, importance double")
 
 
 def _extractor(sent):
@@ -327,7 +364,7 @@ def extract_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "htm
     """
     base = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
     work = Workspace(pages.sparkSession, "html")
-    low = work.save(low_branches(base).select("host", "path"), "low")
+    low = work.save(low_branches(base, work, sent_rows).select("host", "path"), "low")
     none = F.lit(None).cast("array<string>").alias("low")
     others = base.columns[2:]
     if low.count() <= sent_rows:
