@@ -67,6 +67,8 @@ _ENDS_P = _BLOCK - {"option", "legend", "caption", "head", "html", "body", "titl
 _OTHER_TAGS = frozenset("nav footer aside form button select option textarea head title menu dialog noscript template iframe object svg canvas script style audio video noembed noframes xmp".split())
 _OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _OTHER_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus replies respond cookie cookies consent gdpr notice notification popup modal overlay share sharing social related recommended recommendations newsletter subscribe subscription signup login widget toolbar pagination pager masthead".split())
+#: Words by which a compound name tells of something around or in the element, not what it is.
+_ABOUT = frozenset("has no not with without hide show open closed enabled disabled category layout".split())
 _OTHER_NAMES_ALONE = frozenset("header footer side banner alert top bottom tools meta hidden".split())
 
 
@@ -77,35 +79,40 @@ class Block:
     other: bool
     #: 2 inside an article, 1 inside a main part
     inside: int
+    #: its tag or role, or one above, says that it is something else, whatever the names
+    tagged: bool
 
 
 class _Node:
-    __slots__ = ("tag", "path", "other", "inside", "children")
+    __slots__ = ("tag", "path", "tagged", "named", "inside", "children")
 
-    def __init__(self, tag: str, path: str, other: bool, inside: int):
-        self.tag, self.path, self.other, self.inside, self.children = tag, path, other, inside, []
+    def __init__(self, tag: str, path: str, tagged: bool, named: int, inside: int):
+        self.tag, self.path, self.tagged, self.named, self.inside, self.children = tag, path, tagged, named, inside, []
 
 
-def _names(attributes: dict[str, str]) -> list[str]:
-    return [x.lower() for k in ("class", "id") for x in _NAME.findall(attributes.get(k, ""))]
+def _tagged_other(tag: str, attributes: dict[str, str], inside: int) -> bool:
+    return tag in _OTHER_TAGS or attributes.get("role", "").lower() in _OTHER_ROLES or (tag == "header" and not inside)
 
 
-def _is_other(tag: str, attributes: dict[str, str], inside: int) -> bool:
-    if tag in _OTHER_TAGS or attributes.get("role", "").lower() in _OTHER_ROLES:
-        return True
-    if tag == "header" and not inside:
-        return True
-    if tag in ("html", "body") or not ("class" in attributes or "id" in attributes):
-        return False
-    names = _names(attributes)
-    return any(n in _OTHER_NAMES for n in names) or any(x.lower() in _OTHER_NAMES_ALONE for k in ("class", "id") for x in attributes.get(k, "").split())
+def _named_other(tag: str, attributes: dict[str, str]) -> int:
+    """2 if a whole class or id is one of the names, 1 if one begins or ends with one (ad-slot, left-sidebar)."""
+    if tag in ("html", "body", "article", "main") or attributes.get("role", "").lower() == "main":
+        return 0
+    found = 0
+    for token in (x for k in ("class", "id") for x in attributes.get(k, "").split()):
+        if token.lower() in _OTHER_NAMES or token.lower() in _OTHER_NAMES_ALONE:
+            return 2
+        words = [x.lower() for x in _NAME.findall(token)]
+        if words and not _ABOUT.intersection(words) and (words[0] in _OTHER_NAMES or words[-1] in _OTHER_NAMES):
+            found = 1
+    return found
 
 
 def read_page(source: str) -> tuple[list[Block], dict[str, list[str]]]:
     """Blocks of text in page order, and of each style path the child styles that follow."""
     blocks: list[Block] = []
     styles: dict[str, list[str]] = {}
-    stack = [_Node("", "", False, 0)]
+    stack = [_Node("", "", False, 0, 0)]
     said: list[str] = []
 
     def flush() -> None:
@@ -113,7 +120,8 @@ def read_page(source: str) -> tuple[list[Block], dict[str, list[str]]]:
             text = _SPACE.sub(" ", "".join(said)).strip()
             said.clear()
             if text:
-                blocks.append(Block(stack[-1].path, text, stack[-1].other, stack[-1].inside))
+                top = stack[-1]
+                blocks.append(Block(top.path, text, top.tagged or top.named > 0, top.inside, top.tagged))
 
     def pop() -> None:
         node = stack.pop()
@@ -175,13 +183,15 @@ def read_page(source: str) -> tuple[list[Block], dict[str, list[str]]]:
         if tag in _VOID:
             continue
         inside = max(top.inside, 2 if tag == "article" else 1 if tag == "main" or attributes.get("role", "").lower() == "main" else 0)
-        node = _Node(tag, f"{top.path}/{style}", top.other or _is_other(tag, attributes, top.inside), inside)
+        # a compound name above an article or main part doesn't hold for it
+        above = 0 if inside > top.inside and top.named < 2 else top.named
+        node = _Node(tag, f"{top.path}/{style}", top.tagged or _tagged_other(tag, attributes, top.inside), max(above, _named_other(tag, attributes)), inside)
         if tag in _RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(source, at)
             raw = source[at : close.start() if close else end]
             at = close.end() if close else end
             if tag in ("title", "textarea") and raw.strip():
-                blocks.append(Block(node.path, _SPACE.sub(" ", _html.unescape(raw)).strip(), True, inside))
+                blocks.append(Block(node.path, _SPACE.sub(" ", _html.unescape(raw)).strip(), True, inside, True))
             continue
         if m[3].endswith("/") and tag in ("svg", "path", "g"):
             continue
@@ -192,10 +202,11 @@ def read_page(source: str) -> tuple[list[Block], dict[str, list[str]]]:
 
 
 def candidates(blocks: Sequence[Block]) -> list[Block]:
-    """Blocks that markup alone leaves: of the articles, else of the main parts, else of the page."""
-    for least in (2, 1, 0):
-        if kept := [b for b in blocks if not b.other and b.inside >= least]:
-            return kept
+    """Blocks that markup alone leaves: of the articles, else of the main parts, else of the page; if it leaves none, also of what only a class or id names as something else."""
+    for own in ([b for b in blocks if not b.other], [b for b in blocks if not b.tagged]):
+        for least in (2, 1, 0):
+            if kept := [b for b in own if b.inside >= least]:
+                return kept
     return []
 
 
