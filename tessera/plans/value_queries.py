@@ -322,7 +322,8 @@ _SOURCES = f"""sp AS (SELECT f.doc_id, field_pos, pi.* EXCLUDE (doc_id) FROM f J
 
 
 def _bound_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binding.bind_found(staged(_everywhere(spark, sf_dir, "text", None), "found"), _fused_prose(spark, sf_dir))
+    """With the operator's own threshold, so that an altered copy is found and has sources."""
+    return binding.bind_found(staged(_everywhere(spark, sf_dir, "text", binding.FUZZY_FROM), "found"), _fused_prose(spark, sf_dir))
 
 
 def _bound_prose(spark: SparkSession, sf_dir: str) -> DataFrame:

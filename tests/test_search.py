@@ -75,7 +75,9 @@ def test_every_pair_is_searched(spark, tables):
     assert len(sources) == len(got) and sources[1, 0] == "1" and sources[2, 2] == "0"
     issues = QUERIES["issues_all_whole"](spark, tables).collect()
     lost = {(r.doc_id, r.field_pos) for r in issues if r.issue_type == "hallucination"}
-    assert lost == {k for k, method in got.items() if method == "not_found"}
+    want = brute(PASSAGES, TEXTS, 0.85)
+    assert lost == {k for k, v in want.items() if v[0] == "not_found"} and want[5, 2][0] == "fuzzy"
+    assert sources[5, 2] == "0" and all((k not in lost) == bool(v) for k, v in sources.items())
     assert {r.doc_id: r.issue_types for r in QUERIES["issues_by_type_whole"](spark, tables).collect()}[2] == "role_mismatch"
 
 
