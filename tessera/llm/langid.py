@@ -32,7 +32,6 @@ RUN_POINTS = 400_000
 SMOOTHING = 0.2
 #: Nats that a further language must gain over the half log of the number of words.
 MORE = 6.0
-MOST_SET = 4
 SWEEPS = 8
 
 _LETTER: np.ndarray | None = None
@@ -128,8 +127,8 @@ def _sweep(share: np.ndarray, likely: np.ndarray, first: np.ndarray, size: np.nd
     return np.add.reduceat(own, first, axis=0) / size[:, None], np.add.reduceat(np.log(total), first)
 
 
-def mixtures(words: np.ndarray, size: np.ndarray, more: float = MORE, most_set: int = MOST_SET) -> np.ndarray:
-    """Proportions (documents x languages) in the set of greatest penalised likelihood; ``words``: log likelihoods by word, ``size``: words by document (none 0)."""
+def mixtures(words: np.ndarray, size: np.ndarray, more: float = MORE, most_set: int | None = None) -> np.ndarray:
+    """Proportions (documents x languages) in the set of greatest penalised likelihood; ``words``: log likelihoods by word, ``size``: words by document (none 0); ``most_set`` bounds the sets, all languages without it."""
     n_langs = words.shape[1]
     first = np.concatenate(([0], np.cumsum(size)[:-1]))
     top = words.max(1)
@@ -146,21 +145,24 @@ def mixtures(words: np.ndarray, size: np.ndarray, more: float = MORE, most_set:
     cost = np.log(size) / 2 + more
     # no set of more languages can win where even all of them gain too little
     open_ = np.flatnonzero(value + 1.0 - reached > cost) if n_langs > 1 else np.zeros(0, int)
-    if len(open_):
+    k, widest = 2, n_langs if most_set is None else min(most_set, n_langs)
+    while len(open_) and k <= widest:
         word = np.concatenate([np.arange(first[d], first[d] + size[d]) for d in open_])
-        part, part_size = likely[word], size[open_]
+        part_size = size[open_]
         part_first = np.concatenate(([0], np.cumsum(part_size)[:-1]))
         order = np.argsort(-share[open_], axis=1, kind="stable")
-        for k in range(2, min(most_set, n_langs) + 1):
-            own = np.full((len(open_), n_langs), 0.0)
-            np.put_along_axis(own, order[:, :k], np.take_along_axis(share[open_], order[:, :k], 1) + 1e-6, 1)
-            own /= own.sum(1, keepdims=True)
-            for _ in range(SWEEPS):
-                own, value = _sweep(own, part + 1e-30, part_first, part_size)
-            gained = value - (k - 1) * cost[open_]
-            better = gained > reached[open_]
-            reached[open_[better]] = gained[better]
-            out[open_[better]] = own[better]
+        own = np.full((len(open_), n_langs), 0.0)
+        np.put_along_axis(own, order[:, :k], np.take_along_axis(share[open_], order[:, :k], 1) + 1e-6, 1)
+        own /= own.sum(1, keepdims=True)
+        for _ in range(SWEEPS):
+            own, reached_k = _sweep(own, likely[word] + 1e-30, part_first, part_size)
+        gained = reached_k - (k - 1) * cost[open_]
+        better = gained > reached[open_]
+        reached[open_[better]] = gained[better]
+        out[open_[better]] = own[better]
+        # the log likelihood is 0 at most, relative to each word's best language
+        open_ = open_[-k * cost[open_] > reached[open_]]
+        k += 1
     return out
 
 
