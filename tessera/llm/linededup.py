@@ -13,9 +13,9 @@ more lines are suspected, which costs shuffle, never a result.  The confirmed
 lines are sent to the tasks while they are at most ``SENT_ROWS``; beyond that
 they are joined by digest and handed to each document as a list.
 
-Results for odd input: null or empty text is one empty line, which stays; a row
-is one document, however often its id occurs, and all rows that carry the
-largest id holding a line keep it; a null id counts as the least id; columns
+Results for odd input: null or empty text is one empty line, which stays; rows
+of one id count as one document, and all rows that carry the largest id holding
+a line keep it; a null id counts as the least id; columns
 that aren't carried are ignored; an empty table gives an empty table.
 """
 
@@ -69,23 +69,24 @@ def _suspects(run: ta.Run, own: ta.Lines, twice: np.ndarray, bits: int) -> list[
     return list(dict.fromkeys((int(r), int(own.hash[i].view(np.int64)), _digest(run, own, i)) for r, i in zip(rows, which, strict=True)))
 
 
-def _counter(sent, bits: int, least: int):
+def _counter(sent, bits: int, least: int, least_docs: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each batch: suspected lines with the number of rows that hold them and the largest id."""
+        """Of each batch: suspected lines with the ids that hold them, ``least_docs`` at most since so many confirm, and the largest id."""
         twice = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
             ids = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
-            seen: dict[bytes, list[int]] = {}
+            seen: dict[bytes, list] = {}
             for run in ta.runs(batch.column(1)):
                 for row, hashed, digest in _suspects(run, ta.lines(run, least), twice, bits):
                     doc = int(ids[run.first + row])
                     if digest in seen:
-                        seen[digest][1] += 1
+                        if len(seen[digest][1]) < least_docs:
+                            seen[digest][1].add(doc)
                         seen[digest][2] = max(seen[digest][2], doc)
                     else:
-                        seen[digest] = [hashed, 1, doc]
+                        seen[digest] = [hashed, {doc}, doc]
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), *(pa.array([x[i] for x in seen.values()], pa.int64()) for i in range(3))], ["digest", "hash", "n", "keeper"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([list(x[1]) for x in seen.values()], pa.list_(pa.int64())), pa.array([x[2] for x in seen.values()], pa.int64())], ["digest", "hash", "ids", "keeper"])
 
     return count
 
@@ -156,8 +157,9 @@ def dedup_lines(docs: DataFrame, *, least_points: int = LEAST_POINTS, least_docs
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hashes = work.save(texts.select("text").mapInArrow(_hasher(least_points), "n long, hashes binary"), "hashes")
     filter_sent, bits = twice_filter(hashes, most_bits)
-    counted = texts.mapInArrow(_counter(filter_sent, bits, least_points), "digest binary, hash long, n long, keeper long")
-    confirmed = work.save(counted.groupBy("digest").agg(F.min("hash").alias("hash"), F.sum("n").alias("n"), F.max("keeper").alias("keeper")).where(F.col("n") >= least_docs).select("digest", "hash", "keeper"), "confirmed")
+    counted = texts.mapInArrow(_counter(filter_sent, bits, least_points, least_docs), "digest binary, hash long, ids array<long>, keeper long")
+    n_docs = F.size(F.array_distinct(F.flatten(F.collect_list("ids"))))
+    confirmed = work.save(counted.groupBy("digest").agg(F.min("hash").alias("hash"), n_docs.alias("n"), F.max("keeper").alias("keeper")).where(F.col("n") >= least_docs).select("digest", "hash", "keeper"), "confirmed")
     work.drop("hashes")
 
     carried = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
