@@ -1,17 +1,19 @@
 """Main text of web pages with a site style tree.
 
 1. Each page is read into blocks of text, each with its style path (tags with
-   their classes and ids from the root down).
-2. The pages of a host are merged: per style path, how many pages have it, which
-   child styles follow in how many pages (presentation), which texts stand
-   there in how many pages (content).
+   their classes and ids from the root down) and what its markup says: menus,
+   headers, footers, sidebars, notices, adverts, forms and comments by tag, role
+   or name; text outside the article or main part where one stands out.
+2. The pages of a host are merged into a tree.  An element is a presentation node:
+   which child styles follow in how many pages; its own text is a content node
+   below it: which texts stand there in how many pages.
 3. Importance by entropy: a presentation node matters as far as its pages differ
    in what follows; a content node as far as its texts are not spread over its
-   pages; a node's importance mixes its own with that of its children.
-4. A page loses branches of low importance, and those that their markup names
-   as something else than the article (menus, headers, footers, sidebars,
-   notices, adverts, forms, comments).  If the page marks an article or a main
-   part, only that is kept.
+   pages; a node's importance mixes its own with that of its children.  Few pages
+   say little: an importance moves from 1 with m / (m + ``DOUBT``) for m pages.
+   What markup says of the texts below a node weakens its importance.
+4. A page loses the branches of low importance.  If nothing is left, only those
+   count that are low without regard to names.
 
 Pages of a host whose text is equal after markup alone count as one page
 together, so copies of one article don't empty each other however much of the
@@ -19,37 +21,47 @@ host they are.  A branch that holds most of its host's varying text is never
 taken for a template (parts of it may be), and inside a marked article only
 branches that hardly vary go.
 
+A name counts as a whole class or id, or if every word of it is a name or tells of
+a part of a page (ad-slot, but not related-work or has-sidebar); it never counts
+against an article or main part that bears it.
+
 Results for odd input: null or empty html has no text; unclosed and misnested
-tags are closed by the enclosing end; a null url is a host of its own; repeated
-rows are pages each; columns that aren't carried are ignored; an empty table
+tags are closed by the enclosing end; a very long page is read whole, as a row of
+its own; a null url is a host of its own; repeated rows are pages each; blocks of
+equal text stay as often as they stand; columns that aren't carried are ignored,
+and a carried one that is called ``text`` is given as ``text_in``; an empty table
 gives an empty table.
 """
 
 from __future__ import annotations
 
 import html as _html
-import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.workspace import Workspace
+from tessera.llm.workspace import Workspace, carried, column, given_back
 
-#: A host's tree says something from so many pages on.
-LEAST_PAGES = 8
+#: Pages' worth of doubt in what few pages say.
+DOUBT = 0.9
 #: Importance under which a branch goes: anywhere, and inside a marked article.
 LOW, LOW_INSIDE = 0.2, 0.03
+#: What remains of the importance of text that a name or, by its place, a marked article sets apart; a tag or role leaves none.
+NAMED, OUTSIDE = 0.02, 0.15
+#: Share of a page's text from which its article or main part stands out.
+STANDS_OUT = 0.25
 #: Weight of the children in a node's importance.
 INHERITED = 0.9
 MOST_VARIED = 0.5
+#: Depth from which a host's tree is weighed subtree by subtree.
+CUT = 8
 SENT_ROWS = 200_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>", re.S)
@@ -67,8 +79,8 @@ _ENDS_P = _BLOCK - {"option", "legend", "caption", "head", "html", "body", "titl
 _OTHER_TAGS = frozenset("nav footer aside form button select option textarea head title menu dialog noscript template iframe object svg canvas script style audio video noembed noframes xmp".split())
 _OTHER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _OTHER_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus replies respond cookie cookies consent gdpr notice notification popup modal overlay share sharing social related recommended recommendations newsletter subscribe subscription signup login widget toolbar pagination pager masthead".split())
-#: Words by which a compound name tells of something around or in the element, not what it is.
-_ABOUT = frozenset("has no not with without hide show open closed enabled disabled category layout".split())
+#: Words that tell of a part of a page, whatever it holds.
+_PARTS = frozenset("list box item items wrapper wrap container slot slots block section area zone left right top bottom inner outer main site page post posts link links bar unit panel column col row grid text title content group set region primary secondary sub small large mobile desktop fixed sticky inline footer articles stories".split())
 _OTHER_NAMES_ALONE = frozenset("header footer side banner alert top bottom tools meta hidden".split())
 
 
@@ -76,10 +88,11 @@ _OTHER_NAMES_ALONE = frozenset("header footer side banner alert top bottom tools
 class Block:
     path: str
     text: str
-    other: bool
-    #: 2 inside an article, 1 inside a main part
-    inside: int
-    #: its tag or role, or one above, says that it is something else, whatever the names
+    #: a name, of it or above, says that it is something else
+    named: bool
+    #: inside an article or main part
+    inside: bool
+    #: its tag or role, or one above, says that it is something else
     tagged: bool
 
 
@@ -95,15 +108,15 @@ def _tagged_other(tag: str, attributes: dict[str, str], inside: int) -> bool:
 
 
 def _named_other(tag: str, attributes: dict[str, str]) -> int:
-    """2 if a whole class or id is one of the names, 1 if one begins or ends with one (ad-slot, left-sidebar)."""
+    """2 if a whole class or id is one of the names, 1 if one is made of names and parts (ad-slot, left-sidebar)."""
     if tag in ("html", "body", "article", "main") or attributes.get("role", "").lower() == "main":
         return 0
     found = 0
     for token in (x for k in ("class", "id") for x in attributes.get(k, "").split()):
         if token.lower() in _OTHER_NAMES or token.lower() in _OTHER_NAMES_ALONE:
             return 2
-        words = [x.lower() for x in _NAME.findall(token)]
-        if words and not _ABOUT.intersection(words) and (words[0] in _OTHER_NAMES or words[-1] in _OTHER_NAMES):
+        words = {x.lower() for x in _NAME.findall(token)}
+        if words <= _OTHER_NAMES | _PARTS and words & (_OTHER_NAMES | {"footer"}):
             found = 1
     return found
 
@@ -121,7 +134,7 @@ def read_page(source: str) -> tuple[list[Block], dict[str, list[str]]]:
             said.clear()
             if text:
                 top = stack[-1]
-                blocks.append(Block(top.path, text, top.tagged or top.named > 0, top.inside, top.tagged))
+                blocks.append(Block(top.path, text, top.named > 0, top.inside > 0, top.tagged))
 
     def pop() -> None:
         node = stack.pop()
@@ -191,7 +204,7 @@ def read_page(source: str) -> tuple[list[Block], dict[str, list[str]]]:
             raw = source[at : close.start() if close else end]
             at = close.end() if close else end
             if tag in ("title", "textarea") and raw.strip():
-                blocks.append(Block(node.path, _SPACE.sub(" ", _html.unescape(raw)).strip(), True, inside, True))
+                blocks.append(Block(node.path, _SPACE.sub(" ", _html.unescape(raw)).strip(), False, inside > 0, True))
             continue
         if m[3].endswith("/") and tag in ("svg", "path", "g"):
             continue
@@ -201,26 +214,46 @@ def read_page(source: str) -> tuple[list[Block], dict[str, list[str]]]:
     return blocks, styles
 
 
+def said_by_markup(blocks: Sequence[Block]) -> list[tuple[float, float]]:
+    """Of each block: what markup leaves of its importance, and what it leaves without regard to names."""
+    plain = [b for b in blocks if not (b.tagged or b.named)] or [b for b in blocks if not b.tagged]
+    stands_out = sum(len(b.text) for b in plain if b.inside) >= STANDS_OUT * sum(len(b.text) for b in plain) and any(b.inside for b in plain)
+    found = []
+    for b in blocks:
+        bare = 0.0 if b.tagged else OUTSIDE if stands_out and not b.inside else 1.0
+        found.append((min(bare, NAMED) if b.named else bare, bare))
+    return found
+
+
 def candidates(blocks: Sequence[Block]) -> list[Block]:
-    """Blocks that markup alone leaves: of the articles, else of the main parts, else of the page; if it leaves none, also of what only a class or id names as something else."""
-    for own in ([b for b in blocks if not b.other], [b for b in blocks if not b.tagged]):
-        for least in (2, 1, 0):
-            if kept := [b for b in own if b.inside >= least]:
-                return kept
+    """Blocks that markup alone leaves; if it leaves none, also of what only a name sets apart."""
+    said = said_by_markup(blocks)
+    for k in (0, 1):
+        if kept := [b for b, own in zip(blocks, said, strict=True) if own[k] == 1.0]:
+            return kept
     return []
 
 
-def main_text(blocks: Sequence[Block], low: frozenset[str] | set[str] = frozenset()) -> str:
-    """The blocks that stay, one to a line; ``low``: style paths of branches that go."""
+#: Last step of the path of a content node.
+_TEXT = "/#text"
+
 
-    def gone(path: str) -> bool:
-        while path:
-            if path in low:
-                return True
-            path = path.rpartition("/")[0]
-        return False
+def _gone(path: str, low: set[str] | frozenset[str]) -> bool:
+    while path:
+        if path in low:
+            return True
+        path = path.rpartition("/")[0]
+    return False
 
-    return "\n".join(b.text for b in candidates(blocks) if not (low and gone(b.path)))
+
+def main_text(blocks: Sequence[Block], low: dict[str, bool] | None = None) -> str:
+    """The blocks that stay, one to a line; ``low``: style paths of branches that go, and whether without regard to names; without it markup alone decides."""
+    if low is None:
+        return "\n".join(b.text for b in candidates(blocks))
+    for own in (set(low), {p for p, bare in low.items() if bare}):
+        if kept := [b.text for b in blocks if not _gone(b.path + _TEXT, own)]:
+            return "\n".join(kept)
+    return ""
 
 
 def host_of(url: Column) -> Column:
@@ -245,77 +278,46 @@ def _content_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), *batch.columns[2:]], ["host", "key", *batch.schema.names[2:]])
 
 
+def page_nodes(blocks: Sequence[Block], styles: dict[str, list[str]]) -> dict[tuple[str, int, int], tuple[int, float, float]]:
+    """(path, kind, value) of a page's nodes with code points, and these weakened by what markup says, with and without names."""
+    own: dict[tuple[str, int, int], tuple[int, float, float]] = {}
+    for path, children in styles.items():
+        own[path, PAGES, 0] = own[path, STYLE, _hash("||".join(children))] = (0, 0.0, 0.0)
+    for b, (said, bare) in zip(blocks, said_by_markup(blocks), strict=True):
+        key, n = (b.path + _TEXT, PAGES, 0), len(b.text)
+        points, clear, unnamed = own.get(key, (0, 0.0, 0.0))
+        own[key] = (points + n, clear + n * said, unnamed + n * bare)
+        own[b.path + _TEXT, CONTENT, _hash(b.text)] = (0, 0.0, 0.0)
+    return own
+
+
 def _tree_rows(sent):
     """``sent``: number of pages by (host, key of equal text), where more than one; without it the third column says so."""
 
     def tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each batch: (host, path, kind, value) with the number of pages, each set of equal ones counted once, code points, and all pages."""
+        """Of each batch: (host, path, kind, value) with the number of pages, each set of equal ones counted once, and their code points."""
         for batch in batches:
-            seen: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0, 0])
+            seen: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
             equal = batch.column(2).to_pylist() if sent is None else [None] * batch.num_rows
             for host, source, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), equal, strict=True):
                 blocks, styles = read_page(source or "")
                 weight = 1.0 / (n or 1 if sent is None else sent.value.get((host, _content_key(blocks)), 1))
-                own: dict[tuple, int] = {}
-                for path, children in styles.items():
-                    own[path, PAGES, 0] = 0
-                    own[path, STYLE, _hash("||".join(children))] = 0
-                for b in candidates(blocks):
-                    own[b.path, PAGES, 0] = own.get((b.path, PAGES, 0), 0) + len(b.text)
-                for b in blocks:
-                    own.setdefault((b.path, PAGES, 0), 0)
-                    own[b.path, CONTENT, _hash(b.text)] = len(b.text)
-                for (path, kind, value), points in own.items():
-                    count = seen[host, path, kind, value]
+                for key, points in page_nodes(blocks, styles).items():
+                    count = seen[host, *key]
                     count[0] += weight
-                    count[1] += weight * points
-                    count[2] += 1
+                    for i, x in enumerate(points, 1):
+                        count[i] += weight * x
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), *(pa.array([k[i] for k in seen], pa.int64()) for i in (2, 3)), *(pa.array([v[i] for v in seen.values()], t) for i, t in enumerate((pa.float64(), pa.float64(), pa.int64())))], ["host", "path", "kind", "value", "pages", "points", "all_pages"])
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), *(pa.array([k[i] for k in seen], pa.int64()) for i in (2, 3)), *(pa.array([v[i] for v in seen.values()], pa.float64()) for i in range(4))], ["host", "path", "kind", "value", "pages", "points", "clear", "unnamed"])
 
     return tree_rows
 
 
-def _low_branches(table: pa.Table) -> pa.Table:
-    """Of one host's style nodes: the topmost ones of low importance."""
-    nodes = _with_all_points(table.to_pandas())
-    own = {r.path: r for r in nodes.itertuples()}
-    children: dict[str, list[str]] = defaultdict(list)
-    for path in own:
-        if path:
-            children[path.rpartition("/")[0]].append(path)
-    importance: dict[str, float] = {}
-    for path in sorted(own, key=lambda p: -p.count("/")):
-        r = own[path]
-        parts = []
-        if r.points > 0:
-            parts.append((r.points, r.content))
-        parts += [(max(1, own[c].all_points), importance[c]) for c in children[path]]
-        weight = sum(w for w, _ in parts)
-        below = sum(w * x for w, x in parts) / weight if weight else 1.0
-        share = 1 - INHERITED ** max(1, len(children[path])) if children[path] else 0.0
-        importance[path] = share * max(r.presentation, below) + (1 - share) * below
-    varied: Counter = Counter()
-    for path, r in own.items():
-        varied[path] += r.points * r.content
-        above = path
-        while above:
-            above = above.rpartition("/")[0]
-            varied[above] += r.points * r.content
-    whole = sum(r.points * r.content for r in own.values())
-    found = []
-    for path in sorted(own, key=lambda p: p.count("/")):
-        r = own[path]
-        inside = "/article" in path or "/main" in path
-        if path and r.all_pages >= LEAST_PAGES and r.all_points and varied[path] < MOST_VARIED * whole and importance[path] < (LOW_INSIDE if inside else LOW) and not any(path.startswith(f + "/") for f in found):
-            found.append(path)
-    host = table.column("host")[0].as_py()
-    return pa.table({"host": pa.array([host] * len(found), pa.string()), "path": pa.array(found, pa.string()), "importance": pa.array([importance[p] for p in found], pa.float64())})
-
-
 def site_style_tree(pages: DataFrame, work: Workspace | None = None, sent_rows: int = SENT_ROWS) -> DataFrame:
-    """Of (host, html): (host, path, m pages, all pages, presentation, content, points) of every style node; m counts pages of equal text once, points: code points that markup alone leaves.
+    """Of (host, html): (host, path, m pages, presentation, content, varying, points, clear, unnamed) of every node; m counts pages of equal text once.
 
+    presentation and content: importance by entropy, 1 for a node of the other kind; points: code points of its text,
+    clear and unnamed: what markup leaves of them, with and without regard to names; varying: what of clear differs by page.
     The sets of equal pages are sent to the tasks while they are at most ``sent_rows``, else joined.
     """
     work = work or Workspace(pages.sparkSession, "html")
@@ -326,33 +328,98 @@ def site_style_tree(pages: DataFrame, work: Workspace | None = None, sent_rows:
     else:
         sent = None
         html = html.select("host", "html", F.col("html").alias("again")).mapInArrow(_content_keys, "host string, key long, again string").join(equal, ["host", "key"], "left").select("host", F.col("again").alias("html"), "n")
-    rows = html.mapInArrow(_tree_rows(sent), "host string, path string, kind long, value long, pages double, points double, all_pages long")
+    rows = html.mapInArrow(_tree_rows(sent), "host string, path string, kind long, value long, pages double, points double, clear double, unnamed double")
     # rounded, so that sums of shares don't depend on their order
-    counted = rows.groupBy("host", "path", "kind", "value").agg(F.round(F.sum("pages"), 6).alias("c"), F.round(F.sum("points"), 3).alias("points"), F.sum("all_pages").alias("all_pages")).where("c > 0")
-    c = F.col("c").cast("double")
-    m = F.max(F.when(F.col("kind") == PAGES, F.col("c")))
+    sums = [F.round(F.sum(c), 3).alias(c) for c in ("points", "clear", "unnamed")]
+    counted = rows.groupBy("host", "path", "kind", "value").agg(F.round(F.sum("pages"), 6).alias("c"), *sums).where("c > 0")
+    c = F.col("c")
     total = lambda x, kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, x)), F.lit(0.0))
-    nodes = counted.groupBy("host", "path").agg(m.alias("m"), total(F.col("points"), PAGES).alias("points"), F.max(F.when(F.col("kind") == PAGES, F.col("all_pages"))).alias("all_pages"), total(c, STYLE).alias("ns"), total(c * F.log(c), STYLE).alias("es"), total(c, CONTENT).alias("nc"), total(c * F.log(c), CONTENT).alias("ec"))
-    log_m = F.log(F.col("m").cast("double"))
+    sums = [total(F.col(x), PAGES).alias(x) for x in ("points", "clear", "unnamed")]
+    nodes = counted.groupBy("host", "path").agg(total(c, PAGES).alias("m"), *sums, total(c, STYLE).alias("ns"), total(c * F.log(c), STYLE).alias("es"), total(c, CONTENT).alias("nc"), total(c * F.log(c), CONTENT).alias("ec"))
+    m, log_m = F.col("m"), F.log("m")
     # entropies to base m: of the page over its child styles, and of each text over the pages that have it
-    presentation = F.when(F.col("m") < 2, 1.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.try_divide(F.log("ns") - F.try_divide(F.col("es"), F.col("ns")), log_m), F.lit(0.0))))
-    content = F.when(F.col("m") < 2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.coalesce(F.try_divide(F.col("ec"), F.col("nc") * log_m), F.lit(0.0)))))
-    return nodes.select("host", "path", F.coalesce("m", F.lit(0.0)).alias("m"), F.coalesce("all_pages", F.lit(0)).alias("all_pages"), presentation.alias("presentation"), content.alias("content"), "points")
+    styles = F.when((m < 2) | (F.col("ns") == 0), 1.0).otherwise(F.log("ns") / log_m - F.col("es") / (F.col("ns") * log_m))
+    texts = F.when((m < 2) | (F.col("nc") == 0), 1.0).otherwise(1 - F.col("ec") / (F.col("nc") * log_m))
+    within = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    shown = lambda x: F.round(1 - (1 - within(x)) * m / (m + DOUBT), 9)
+    return nodes.select("host", "path", "m", shown(styles).alias("presentation"), shown(texts).alias("content"), F.round(F.col("clear") * within(texts), 3).alias("varying"), "points", "clear", "unnamed")
 
 
-def _with_all_points(nodes: pd.DataFrame) -> pd.DataFrame:
-    total: Counter = Counter()
-    for path, points in zip(nodes["path"], nodes["points"], strict=True):
-        total[path] += points
-        while path:
-            path = path.rpartition("/")[0]
-            total[path] += points
-    return nodes.assign(all_points=[total[p] for p in nodes["path"]])
+@dataclass
+class _Weighed:
+    """A node with all below it: importance by entropy, code points, those that vary, and the most that markup leaves of a text."""
+
+    importance: float
+    points: float
+    varied: float
+    clear: float
+    unnamed: float
+
+
+_INSIDE = re.compile(r"/(?:article|main)(?=[./#]|$)")
+_WEIGHED = "host string, path string, importance double, points double, varied double, clear double, unnamed double, low boolean, bare boolean, whole double"
+
+
+def _weigh(table: pa.Table) -> pa.Table:
+    """Of nodes of one host (a whole tree, or a subtree with its root): the low ones, and the topmost one.
+
+    A row with an ``importance`` stands for a subtree that was weighed before.
+    """
+    rows = {r["path"]: r for r in table.to_pylist()}
+    children: dict[str, list[str]] = defaultdict(list)
+    for path in rows:
+        if path:
+            children[path.rpartition("/")[0]].append(path)
+    weighed: dict[str, _Weighed] = {}
+    top = min(rows, key=lambda p: (p.count("/"), p))
+    out = []
+    for path in sorted(rows, key=lambda p: (-p.count("/"), p)):
+        r, own = rows[path], [weighed[c] for c in sorted(children[path])]
+        if r["importance"] is not None:
+            weighed[path] = _Weighed(r["importance"], r["all_points"], r["varied"], r["left"], r["left_bare"])
+            continue
+        if path.endswith(_TEXT):
+            n = max(1.0, r["points"])
+            node = _Weighed(r["content"], r["points"], r["varying"], r["clear"] / n, r["unnamed"] / n)
+        else:
+            weight = sum(max(1.0, x.points) for x in own)
+            below = sum(max(1.0, x.points) * x.importance for x in own) / weight if own else 1.0
+            share = 1 - INHERITED ** len(own) if own else 0.0
+            node = _Weighed(share * max(r["presentation"], below) + (1 - share) * below, sum(x.points for x in own), sum(x.varied for x in own), max((x.clear for x in own), default=0.0), max((x.unnamed for x in own), default=0.0))
+        weighed[path] = node
+        least = LOW_INSIDE if _INSIDE.search(path) else LOW
+        # holding most of what varies, it is no template; markup may still set it apart
+        importance = 1.0 if node.varied >= MOST_VARIED * r["whole"] else node.importance
+        low, bare = (importance * x < least for x in (node.clear, node.unnamed))
+        if path and node.points and low or path == top:
+            out.append((r["host"], path, node, path != "" and node.points > 0 and low, bare, r["whole"]))
+    low = {x[1] for x in out if x[3]}
+    out = [x for x in out if x[1] == top or not _gone(x[1].rpartition("/")[0], low)]
+    host, path, node, low, bare, whole = (list(x) for x in zip(*out, strict=True)) if out else ([] for _ in range(6))
+    figures = [[getattr(x, c) for x in node] for c in ("importance", "points", "varied", "clear", "unnamed")]
+    return pa.table([pa.array(host, pa.string()), pa.array(path, pa.string()), *(pa.array(x, pa.float64()) for x in figures), pa.array(low, pa.bool_()), pa.array(bare, pa.bool_()), pa.array(whole, pa.float64())], ["host", "path", "importance", "points", "varied", "clear", "unnamed", "low", "bare", "whole"])
 
 
 def low_branches(pages: DataFrame, work: Workspace | None = None, sent_rows: int = SENT_ROWS) -> DataFrame:
-    """(host, path) of the branches that the trees of the hosts of (host, html) call unimportant."""
-    return site_style_tree(pages, work, sent_rows).groupBy("host").applyInArrow(_low_branches, "host string, path string, importance double")
+    """(host, path, bare) of the branches that the trees of the hosts of (host, html) call unimportant; ``bare``: without regard to names too.
+
+    Subtrees from depth ``CUT`` on are weighed each in its own group, then the hosts' upper parts on top of them; in a
+    group, only the topmost ones are named.
+    """
+    work = work or Workspace(pages.sparkSession, "html")
+    nodes = work.save(site_style_tree(pages, work, sent_rows), "nodes")
+    whole = nodes.groupBy(F.col("host").alias("of")).agg(F.round(F.sum("varying"), 3).alias("whole"))
+    none = [F.lit(None).cast("double").alias(c) for c in ("importance", "all_points", "varied", "left", "left_bare")]
+    nodes = nodes.join(whole, F.col("host").eqNullSafe(F.col("of"))).select("host", "path", "presentation", "content", "varying", "points", "clear", "unnamed", "whole", *none)
+    depth = F.size(F.split("path", "/")) - 1
+    deep = nodes.where(depth >= CUT).withColumn("root", F.substring_index("path", "/", CUT + 1))
+    below = work.save(deep.groupBy("host", "root").applyInArrow(lambda t: _weigh(t.drop_columns(["root"])), _WEIGHED), "below")
+    zero = F.lit(0.0)
+    roots = below.where(depth == CUT).select("host", "path", zero.alias("presentation"), zero.alias("content"), zero.alias("varying"), zero.alias("points"), zero.alias("clear"), zero.alias("unnamed"), "whole", "importance", F.col("points").alias("all_points"), "varied", F.col("clear").alias("left"), F.col("unnamed").alias("left_bare"))
+    above = nodes.where(depth < CUT).unionByName(roots).groupBy("host").applyInArrow(_weigh, _WEIGHED)
+    low = work.save(below.unionByName(above).where("low").select("host", "path", "bare"), "low")
+    work.drop("equal", "nodes", "below")
+    return low
 
 
 def _extractor(sent):
@@ -361,7 +428,7 @@ def _extractor(sent):
             hosts, sources, lists = (batch.column(i).to_pylist() for i in range(3))
             texts = []
             for host, source, own in zip(hosts, sources, lists, strict=True):
-                low = sent.value.get(host, frozenset()) if sent is not None else frozenset(own or ())
+                low = sent.value.get(host, {}) if sent is not None else dict(own or ())
                 texts.append(main_text(read_page(source or "")[0], low))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[3:]], ["text", *(f"carried_{i}" for i in range(batch.num_columns - 3))])
 
@@ -373,20 +440,21 @@ def extract_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "htm
 
     The low branches are sent to the tasks while they are at most ``sent_rows``, else joined by host.
     """
-    base = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
+    base = pages.select(host_of(column(url_col)).alias("host"), column(html_col).alias("html"), *carried(carry))
     work = Workspace(pages.sparkSession, "html")
-    low = work.save(low_branches(base, work, sent_rows).select("host", "path"), "low")
-    none = F.lit(None).cast("array<string>").alias("low")
+    low = low_branches(base, work, sent_rows)
+    none = F.lit(None).cast("map<string,boolean>").alias("low")
     others = base.columns[2:]
     if low.count() <= sent_rows:
-        by_host: dict[str, set[str]] = defaultdict(set)
+        by_host: dict[str, dict[str, bool]] = defaultdict(dict)
         for r in low.toLocalIterator():
-            by_host[r["host"]].add(r["path"])
+            by_host[r["host"]][r["path"]] = r["bare"]
+        work.remove()
         sent = pages.sparkSession.sparkContext.broadcast(dict(by_host))
         ready = base.select("host", "html", none, *others)
     else:
         sent = None
-        ready = base.join(low.groupBy("host").agg(F.collect_set("path").alias("low")), "host", "left").select("host", "html", "low", *others)
+        ready = base.join(low.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "bare"))).alias("low")), "host", "left").select("host", "html", "low", *others)
     schema = T.StructType([T.StructField("text", T.StringType()), *base.schema.fields[2:]])
     out = ready.mapInArrow(_extractor(sent), schema)
-    return out.select(*(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)), "text")
+    return out.select(*given_back(carry, ("text",)), "text")
