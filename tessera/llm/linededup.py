@@ -1,22 +1,26 @@
 """Line deduplication with a once-seen and a twice-seen Bloom filter.
 
 1. Every text is split once; the hashes of its distinct long lines are written.
-2. The hashes set bits of two Bloom filters, built slice by slice: a bit of the
-   second is set where two insertions met in the first.
-3. A line whose bits are all set in the second filter is a suspected repeat.
+2. The hashes go through two Bloom filters: those that the once filter of their
+   range has already make the twice filter.
+3. A line whose bits are all set in the twice filter is a suspected repeat.
    Only suspected repeats shuffle, as 128-bit digests counted per task first;
    the counts confirm exactly and choose the document that keeps the line.
 4. Confirmed lines leave every other document.
 
-The filters grow with the number of long lines up to ``MOST_BITS``; beyond that
-more lines are suspected, which costs shuffle, never a result.  The confirmed
-lines are sent to the tasks while they are at most ``SENT_ROWS``; beyond that
-they are joined by digest and handed to each document as a list.
-
-Results for odd input: null or empty text is one empty line, which stays; rows
-of one id count as one document, and all rows that carry the largest id holding
-a line keep it; a null id counts as the least id; columns
-that aren't carried are ignored; an empty table gives an empty table.
+The once filters are as many as the number of long lines asks for and stay where
+they are; the twice filter grows with the number of lines seen twice up to
+``MOST_BITS``; beyond that more lines are suspected, which costs shuffle, never a
+result.  The confirmed lines are sent to the tasks while they are at most
+``SENT_ROWS``; beyond that they are joined by digest and handed to each document
+as a list.
+
+Results for odd input: null or empty text is one empty line, which stays; a very
+long text is split whole; ids may be of any type that has an order; rows of one id
+count as one document, and all rows that carry the largest id holding a line keep
+it; a null id counts as the least id; columns that aren't carried are ignored, a
+carried one that is called like one of the result is given with ``_in`` added; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,12 +35,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import textarrays as ta
-from tessera.llm.bloom import MOST_BITS, twice_filter, twice_seen
-from tessera.llm.workspace import Workspace
+from tessera.llm.bloom import MOST_BITS, RANGE_BITS, is_twice, twice_filter
+from tessera.llm.workspace import Workspace, carried, column, given_back
 
 LEAST_POINTS, LEAST_DOCS = 40, 5
 SENT_ROWS = 1 << 20
-_NO_ID = -(2**63)
 
 
 def _row_hashes(run: ta.Run, own: ta.Lines) -> np.ndarray:
@@ -64,7 +67,7 @@ def _digest(run: ta.Run, own: ta.Lines, i: int) -> bytes:
 def _suspects(run: ta.Run, own: ta.Lines, twice: np.ndarray, bits: int) -> list[tuple[int, int, bytes]]:
     """(row, hash, digest) of the suspected lines, each once for a row."""
     which = np.flatnonzero(own.long)
-    which = which[twice_seen(own.hash[which], twice, bits)]
+    which = which[is_twice(own.hash[which], twice, bits)]
     rows = np.repeat(np.arange(run.rows), own.per_row)[which]
     return list(dict.fromkeys((int(r), int(own.hash[i].view(np.int64)), _digest(run, own, i)) for r, i in zip(rows, which, strict=True)))
 
@@ -74,19 +77,21 @@ def _counter(sent, bits: int, least: int, least_docs: int):
         """Of each batch: suspected lines with the ids that hold them, ``least_docs`` at most since so many confirm, and the largest id."""
         twice = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
-            ids = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+            kind, ids = batch.schema.field(0).type, batch.column(0).to_pylist()
             seen: dict[bytes, list] = {}
             for run in ta.runs(batch.column(1)):
                 for row, hashed, digest in _suspects(run, ta.lines(run, least), twice, bits):
-                    doc = int(ids[run.first + row])
-                    if digest in seen:
-                        if len(seen[digest][1]) < least_docs:
-                            seen[digest][1].add(doc)
-                        seen[digest][2] = max(seen[digest][2], doc)
-                    else:
+                    doc = ids[run.first + row]
+                    if digest not in seen:
                         seen[digest] = [hashed, {doc}, doc]
+                        continue
+                    own = seen[digest]
+                    if len(own[1]) < least_docs:
+                        own[1].add(doc)
+                    if own[2] is None or doc is not None and doc > own[2]:
+                        own[2] = doc
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([list(x[1]) for x in seen.values()], pa.list_(pa.int64())), pa.array([x[2] for x in seen.values()], pa.int64())], ["digest", "hash", "ids", "keeper"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([list(x[1]) for x in seen.values()], pa.list_(kind)), pa.array([x[2] for x in seen.values()], kind)], ["digest", "hash", "ids", "keeper"])
 
     return count
 
@@ -96,11 +101,11 @@ def _lister(sent, bits: int, least: int):
         """The suspected lines of each row, for the join."""
         twice = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
-            ids = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+            kind, ids = batch.schema.field(0).type, batch.column(0).to_pylist()
             for run in ta.runs(batch.column(1)):
                 found = _suspects(run, ta.lines(run, least), twice, bits)
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([int(ids[run.first + r]) for r, _, _ in found], pa.int64()), pa.array([d for _, _, d in found], pa.binary())], ["id", "digest"])
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[run.first + r] for r, _, _ in found], kind), pa.array([d for _, _, d in found], pa.binary())], ["id", "digest"])
 
     return listed
 
@@ -111,9 +116,10 @@ def _dropper(sent, least: int):
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = digests = keepers = None
         if sent is not None:
-            hashes, digests, keepers = (np.frombuffer(x, d) for x, d in zip(sent.value, (np.uint64, "V16", np.int64), strict=True))
+            hashes, digests = (np.frombuffer(x, d) for x, d in zip(sent.value[:2], (np.uint64, "V16"), strict=True))
+            keepers = sent.value[2]
         for batch in batches:
-            ids = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).to_pylist()
             lists = None if sent is not None else batch.column(2).to_pylist()
             for run in ta.runs(batch.column(1)):
                 own = ta.lines(run, least)
@@ -150,33 +156,35 @@ def _dropper(sent, least: int):
     return drop
 
 
-def dedup_lines(docs: DataFrame, *, least_points: int = LEAST_POINTS, least_docs: int = LEAST_DOCS, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), most_bits: int = MOST_BITS, sent_rows: int = SENT_ROWS) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, least_points: int = LEAST_POINTS, least_docs: int = LEAST_DOCS, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), most_bits: int = MOST_BITS, range_bits: int = RANGE_BITS, sent_rows: int = SENT_ROWS) -> DataFrame:
     """id, text (what stays), n_lines, n_dropped of every row, and the columns named in ``carry``."""
     spark = docs.sparkSession
     work = Workspace(spark, "lines")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(column(id_col).alias("id"), column(text_col).alias("text"), *carried(carry))
+    texts = base.select("id", "text")
+    kind = base.schema["id"].dataType
+    typed = lambda *fields: T.StructType([T.StructField(n, t) for n, t in fields])
     hashes = work.save(texts.select("text").mapInArrow(_hasher(least_points), "n long, hashes binary"), "hashes")
-    filter_sent, bits = twice_filter(hashes, most_bits)
-    counted = texts.mapInArrow(_counter(filter_sent, bits, least_points, least_docs), "digest binary, hash long, ids array<long>, keeper long")
-    n_docs = F.size(F.array_distinct(F.flatten(F.collect_list("ids"))))
-    confirmed = work.save(counted.groupBy("digest").agg(F.min("hash").alias("hash"), n_docs.alias("n"), F.max("keeper").alias("keeper")).where(F.col("n") >= least_docs).select("digest", "hash", "keeper"), "confirmed")
+    filter_sent, bits = twice_filter(hashes, work, most_bits, range_bits=range_bits)
+    counted = texts.mapInArrow(_counter(filter_sent, bits, least_points, least_docs), typed(("digest", T.BinaryType()), ("hash", T.LongType()), ("ids", T.ArrayType(kind)), ("keeper", kind)))
+    # ids counted once each per line, by line first: a line of a third of all rows has one row a batch here
+    holders = counted.select("digest", F.explode("ids").alias("id")).distinct().groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
+    confirmed = work.save(counted.groupBy("digest").agg(F.min("hash").alias("hash"), F.max("keeper").alias("keeper")).join(holders.select("digest"), "digest", "left_semi"), "confirmed")
     work.drop("hashes")
 
-    carried = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *carried)
+    others = base.columns[2:]
     if confirmed.count() <= sent_rows:
         rows = confirmed.toPandas()
         order = np.argsort(rows["hash"].to_numpy(np.int64).view(np.uint64), kind="stable")
         rows = rows.iloc[order]
-        sent = spark.sparkContext.broadcast((rows["hash"].to_numpy(np.int64).tobytes(), b"".join(bytes(x) for x in rows["digest"]), rows["keeper"].to_numpy(np.int64).tobytes()))
-        ready = base.select("id", "text", F.lit(None).cast("array<binary>").alias("gone"), *[c for c in base.columns[2:]])
+        sent = spark.sparkContext.broadcast((rows["hash"].to_numpy(np.int64).tobytes(), b"".join(bytes(x) for x in rows["digest"]), rows["keeper"].tolist()))
+        work.drop("confirmed")
+        ready = base.select("id", "text", F.lit(None).cast("array<binary>").alias("gone"), *others)
     else:
         sent = None
-        lists = texts.mapInArrow(_lister(filter_sent, bits, least_points), "id long, digest binary")
-        lists = lists.join(confirmed.select("digest", "keeper"), "digest").where("id <> keeper").groupBy("id").agg(F.collect_set("digest").alias("gone"))
-        keyed = base.withColumn("key", F.coalesce("id", F.lit(_NO_ID)))
-        ready = keyed.join(lists.withColumnRenamed("id", "key"), "key", "left").select("id", "text", "gone", *[c for c in base.columns[2:]])
-    kinds = [docs.select(F.col(c).alias("x")).schema[0].dataType for c in carry]
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), *(T.StructField(f"carried_{i}", k) for i, k in enumerate(kinds))])
+        lists = texts.mapInArrow(_lister(filter_sent, bits, least_points), typed(("id", kind), ("digest", T.BinaryType())))
+        lists = lists.join(confirmed.select("digest", "keeper"), "digest").where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy(F.col("id").alias("of")).agg(F.collect_set("digest").alias("gone"))
+        ready = base.join(lists, F.col("id").eqNullSafe(F.col("of")), "left").select("id", "text", "gone", *others)
+    schema = T.StructType([*typed(("id", kind), ("text", T.StringType()), ("n_lines", T.LongType()), ("n_dropped", T.LongType())).fields, *base.schema.fields[2:]])
     out = ready.mapInArrow(_dropper(sent, least_points), schema)
-    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_lines", "n_dropped", *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)))
+    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_lines", "n_dropped", *given_back(carry, (id_col, text_col, "n_lines", "n_dropped")))
