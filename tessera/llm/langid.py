@@ -6,13 +6,22 @@ estimates the proportions over all languages; then the sets of the 1, 2, 3 ...
 most present languages are fitted, and the one of greatest penalised likelihood
 is kept.  The prediction is the language of largest proportion in it.
 
+Each fit goes on until its likelihood is within ``CLOSE`` of the greatest: with
+d_k the mean over the words of (likelihood in language k / likelihood in the
+mixture), no mixture of these languages reaches more than n log max d_k beyond
+the present one.  The same bound tells when no larger set can win.
+
 Models are counted over at most about ``ROWS_PER_LANG`` labelled rows of each
-language, chosen by hash of the id.  Every text is read whole.
+language, chosen by hash of the id, for the ``MOST_LANGS`` languages of most
+labelled rows.  Every text is read whole.
 
 Results for odd input: null text or text without a letter is ``und`` with score 0,
-and so is everything if nothing could be learned; a row whose id is null is
-never learned from and counts as not held out; columns that aren't carried are
-ignored; an empty table gives an empty table.
+and so is everything if nothing could be learned; a very long text is a run of its
+own; of languages that explain a text equally well the first by name stands; a row
+whose id is null is never learned from and counts as not held out; repeated rows
+are predicted each; columns that aren't carried are ignored, and a carried one that
+is called like one of the result is given with ``_in`` added; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -26,13 +35,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS_PER_LANG, BUCKETS = 3_000, 1 << 16
+from tessera.llm.workspace import carried, column, given_back
+
+ROWS_PER_LANG, MOST_LANGS, BUCKETS = 3_000, 256, 1 << 16
 UNKNOWN = "und"
 RUN_POINTS = 400_000
 SMOOTHING = 0.2
 #: Nats that a further language must gain over the half log of the number of words.
 MORE = 6.0
-SWEEPS = 8
+#: Nats under the greatest likelihood at which a fit ends, and sweeps after which it ends in any case.
+CLOSE, SWEEPS = 0.05, 1000
 
 _LETTER: np.ndarray | None = None
 
@@ -101,13 +113,13 @@ class Languages:
 
 def held_out(id_col: str = "doc_id") -> Column:
     """A quarter of the ids, by their text's crc32; these are never learned from."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return F.coalesce(F.crc32(column(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = ROWS_PER_LANG) -> Languages:
-    usable = docs.where(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    usable = usable.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = ROWS_PER_LANG, most_langs: int = MOST_LANGS) -> Languages:
+    usable = docs.where(~held_out(id_col) & column(id_col).isNotNull() & column(lang_col).isNotNull() & column(text_col).isNotNull())
+    usable = usable.select(column(id_col).alias("id"), column(text_col).alias("text"), column(lang_col).alias("lang"))
+    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
     if not sizes:
         return Languages([], np.zeros((BUCKETS, 0), np.float32))
     share = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, rows_per_lang / n)))))
@@ -119,12 +131,29 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     return Languages(names, np.log((counts + SMOOTHING) / (counts.sum(0) + SMOOTHING * BUCKETS)).astype(np.float32))
 
 
-def _sweep(share: np.ndarray, likely: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One step of expectation-maximisation for all documents at once: new proportions, log likelihood under the old ones."""
-    own = np.repeat(share, size, axis=0) * likely
-    total = own.sum(1)
-    own /= total[:, None]
-    return np.add.reduceat(own, first, axis=0) / size[:, None], np.add.reduceat(np.log(total), first)
+def _fit(share: np.ndarray, likely: np.ndarray, size: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expectation-maximisation from ``share`` for all documents at once: proportions, log likelihood, and by how much the greatest may lie above it.
+
+    A document whose likelihood can't reach ``wanted`` any more is left where it is.
+    """
+    share, value, gap = share.copy(), np.zeros(len(size)), np.zeros(len(size))
+    open_ = np.arange(len(size))
+    for _ in range(SWEEPS):
+        first = np.concatenate(([0], np.cumsum(size)[:-1]))
+        old = share[open_]
+        own = np.repeat(old, size, axis=0) * likely
+        total = own.sum(1)
+        own /= total[:, None]
+        new = np.add.reduceat(own, first, axis=0) / size[:, None]
+        value[open_] = np.add.reduceat(np.log(total), first)
+        gap[open_] = size * np.log(np.max(np.divide(new, old, out=np.zeros_like(new), where=old > 0), axis=1))
+        share[open_] = new
+        on = (gap[open_] > CLOSE) & (value[open_] + gap[open_] > wanted[open_])
+        if not on.any():
+            break
+        if not on.all():
+            likely, size, open_ = likely[np.repeat(on, size)], size[on], open_[on]
+    return share, value, gap
 
 
 def mixtures(words: np.ndarray, size: np.ndarray, more: float = MORE, most_set: int | None = None) -> np.ndarray:
@@ -133,35 +162,31 @@ def mixtures(words: np.ndarray, size: np.ndarray, more: float = MORE, most_set:
     first = np.concatenate(([0], np.cumsum(size)[:-1]))
     top = words.max(1)
     likely = np.exp(words - top[:, None]) + 1e-30
-    share = np.full((len(size), n_langs), 1 / n_langs)
-    value = None
-    for _ in range(SWEEPS):
-        share, value = _sweep(share, likely, first, size)
     alone = np.add.reduceat(words - top[:, None], first, axis=0)
     best = alone.argmax(1)
     reached = alone[np.arange(len(size)), best]
-    out = np.zeros_like(share)
+    out = np.zeros((len(size), n_langs))
     out[np.arange(len(size)), best] = 1.0
+    if n_langs == 1:
+        return out
     cost = np.log(size) / 2 + more
-    # no set of more languages can win where even all of them gain too little
-    open_ = np.flatnonzero(value + 1.0 - reached > cost) if n_langs > 1 else np.zeros(0, int)
+    share, value, gap = _fit(np.full((len(size), n_langs), 1 / n_langs), likely, size, reached + cost)
+    bound = value + gap
+    open_ = np.flatnonzero(bound - cost > reached)
     k, widest = 2, n_langs if most_set is None else min(most_set, n_langs)
     while len(open_) and k <= widest:
         word = np.concatenate([np.arange(first[d], first[d] + size[d]) for d in open_])
-        part_size = size[open_]
-        part_first = np.concatenate(([0], np.cumsum(part_size)[:-1]))
         order = np.argsort(-share[open_], axis=1, kind="stable")
-        own = np.full((len(open_), n_langs), 0.0)
+        own = np.zeros((len(open_), n_langs))
         np.put_along_axis(own, order[:, :k], np.take_along_axis(share[open_], order[:, :k], 1) + 1e-6, 1)
         own /= own.sum(1, keepdims=True)
-        for _ in range(SWEEPS):
-            own, reached_k = _sweep(own, likely[word] + 1e-30, part_first, part_size)
+        own, reached_k, _ = _fit(own, likely[word], size[open_], reached[open_] + (k - 1) * cost[open_])
         gained = reached_k - (k - 1) * cost[open_]
         better = gained > reached[open_]
         reached[open_[better]] = gained[better]
         out[open_[better]] = own[better]
-        # the log likelihood is 0 at most, relative to each word's best language
-        open_ = open_[-k * cost[open_] > reached[open_]]
+        # a set of k + 1 languages or more
+        open_ = open_[bound[open_] - k * cost[open_] > reached[open_]]
         k += 1
     return out
 
@@ -192,7 +217,8 @@ def _predictor(sent):
 def predict(docs: DataFrame, model: Languages, *, text_col: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """lang_pred, score, proportions (language to share) of every row, and the columns of ``carry``; only the text is looked at."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    base = docs.select(F.col(text_col).alias("text"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
+    base = docs.select(column(text_col).alias("text"), *carried(carry))
     schema = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("proportions", T.MapType(T.StringType(), T.DoubleType())), *base.schema.fields[1:]])
     out = base.mapInArrow(_predictor(sent), schema)
-    return out.select(*(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)), "lang_pred", "score", "proportions")
+    result = ("lang_pred", "score", "proportions")
+    return out.select(*given_back(carry, result), *result)
