@@ -3,17 +3,23 @@
 Categories are predicted one after the other; each later model sees the
 probabilities of the earlier ones, and learns from probabilities that models
 trained without the row gave it (out of fold), as it will meet them on new rows.
+A row's fold follows from its text, so equal texts are held out together; the
+features of a fold's model are picked without the fold too.
 
 Features are words and word beginnings that go with a category by the likelihood
 ratio over the labelled rows, as presence and as density, and a few shares of
 characters.  The models are fitted on at most ``SAMPLE_ROWS`` labelled rows, those
 of least hash; the features come from the same rows.  Every text is scored whole.
 
-Results for odd input: null text scores like an empty one; a row with no label in
-a category doesn't train that category; labels repeated for an id count as
-one row with the largest value; with one class only the probability is the
-smoothed share of that class, and without labelled rows it is 0; columns that aren't carried are
-ignored; an empty table gives an empty table.
+Results for odd input: null text scores like an empty one; a very long text is
+scored whole; ids may be of any type; a row with no label in a category doesn't
+train that category, nor does a label without an id or a document; labels repeated
+for an id count as one row with the largest value, documents repeated for an id are
+rows each; of features that gain equally the first by name is taken; with one class
+only the probability is the smoothed share of that class, and without labelled rows
+(an empty table of documents or labels) it is 0; columns that aren't carried are
+ignored, and a carried one that is called like one of the result is given with
+``_in`` added; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.linear import Rows, fit_logistic, sigmoid
-from tessera.llm.workspace import Workspace
+from tessera.llm.workspace import Workspace, carried, column, given_back
 
 SAMPLE_ROWS, FEATURES, FOLDS = 12_000, 256, 5
 #: Features beyond the first few must gain so much: chance gives one in 270,000 as much.
@@ -58,24 +64,24 @@ def _counted(text: str) -> tuple[Counter, int, int]:
 
 
 def _statistics(n_labels: int):
-    names = ["feature", *(str(k) for k in range(2 * n_labels))]
+    names = ["feature", "fold", *(str(k) for k in range(2 * n_labels))]
 
     def rows(seen: dict[tuple, Counter]) -> pa.RecordBatch:
-        # features by which labels their rows had: a few patterns of labels, each with a counter
-        total: dict[str, list[int]] = {}
-        for own, counted in seen.items():
+        # features by fold and by which labels their rows had: a few patterns, each with a counter
+        total: dict[tuple[str, int], list[int]] = {}
+        for (fold, *own), counted in seen.items():
             for f, n in counted.items():
-                at = total.setdefault(f, [0] * (2 * n_labels))
+                at = total.setdefault((f, fold), [0] * (2 * n_labels))
                 for k, y in enumerate(own):
                     if y is not None:
                         at[2 * k] += n
                         at[2 * k + 1] += n * y
-        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), *(pa.array([v[k] for v in total.values()], pa.int64()) for k in range(2 * n_labels))], names)
+        return pa.RecordBatch.from_arrays([pa.array([f for f, _ in total], pa.string()), pa.array([k for _, k in total], pa.int32()), *(pa.array([v[k] for v in total.values()], pa.int64()) for k in range(2 * n_labels))], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of some texts at a time: features with the number of labelled rows and of positive ones, by category."""
+        """Of some texts (text, fold, labels) at a time: features with the number of labelled rows and of positive ones, by category."""
         for batch in batches:
-            labels = list(zip(*(batch.column(1 + k).to_pylist() for k in range(n_labels)), strict=True))
+            labels = list(zip(*(batch.column(1 + k).to_pylist() for k in range(1 + n_labels)), strict=True))
             seen: dict[tuple, Counter] = {}
             size = 0
             for text, own in zip(batch.column(0).to_pylist(), labels, strict=True):
@@ -136,67 +142,82 @@ class Chain:
         return out
 
 
+def _picked(stats: DataFrame, total: dict[str, float], k: int, held: int | None, folds: int, most: int) -> list[str]:
+    """Features of category ``k`` by gain, counted without the fold ``held``."""
+    used = [f for f in range(folds) if f != held]
+    rows, positive = (sum(total[f"{c}{k}_{f}"] for f in used) for c in "np")
+    if not 0 < positive < rows:
+        return []
+    n, a = (sum((F.col(f"{c}{k}_{f}") for f in used[1:]), F.col(f"{c}{k}_{used[0]}")) for c in "np")
+    part = lambda x, of: F.when(x > 0, x * F.log(x / of)).otherwise(0.0)
+    # how unlikely the feature's share of positive rows is by chance; sound for small counts too
+    gain = F.round(2 * (part(a, n * (positive / rows)) + part(n - a, n * (1 - positive / rows))), 9)
+    best = stats.where(n >= 3).select("feature", gain.alias("gain")).orderBy(F.desc("gain"), "feature").limit(most).collect()
+    return [r["feature"] for i, r in enumerate(best) if i < AT_LEAST or r["gain"] >= GAIN]
+
+
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, folds: int = FOLDS) -> Chain:
     """Models for the 0/1 columns ``categories`` of ``labels``, in that order."""
     names = [f"y{k}" for k in range(len(categories))]
-    known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(*(F.max(F.col(c).cast("int")).alias(n) for c, n in zip(categories, names, strict=True)))
+    known = labels.where(column(id_col).isNotNull()).groupBy(column(id_col).alias("id")).agg(*(F.max(column(c).cast("int")).alias(n) for c, n in zip(categories, names, strict=True)))
     chosen = known.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(sample_rows)  # bounded, so it may be sent to all tasks
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
     work = Workspace(docs.sparkSession, "toxicity")
-    sample = work.save(texts.join(F.broadcast(chosen), "id").select("id", "text", *names), "sample")
-
-    counts = ", ".join(f"n{k} long, p{k} long" for k in range(len(names)))
-    stats = sample.select("text", *names).mapInArrow(_statistics(len(names)), f"feature string, {counts}")
-    stats = work.save(stats.groupBy("feature").agg(*(F.sum(f"{c}{k}").cast("double").alias(f"{c}{k}") for k in range(len(names)) for c in "np")), "features")
-    total = sample.agg(*(f(F.col(n)).cast("double").alias(a + n) for n in names for f, a in ((F.count, "n"), (F.sum, "p")))).first()
-    picked: list[list[str]] = [[] for _ in names]
-    for k, n in enumerate(names):
-        rows, positive = total["n" + n] or 0.0, total["p" + n] or 0.0
-        if not 0 < positive < rows:
-            continue
-        n, a = F.col(f"n{k}"), F.col(f"p{k}")
-        part = lambda x, of: F.when(x > 0, x * F.log(x / of)).otherwise(0.0)
-        # how unlikely the feature's share of positive rows is by chance; sound for small counts too
-        gain = 2 * (part(a, n * (positive / rows)) + part(n - a, n * (1 - positive / rows)))
-        best = stats.where(n >= 3).select("feature", gain.alias("gain")).orderBy(F.desc("gain"), "feature").limit(features).collect()
-        picked[k] = [r["feature"] for i, r in enumerate(best) if i < AT_LEAST or r["gain"] >= GAIN]
-
-    featurize = Featurizer(list(dict.fromkeys(f for own in picked for f in own)))
+    fold = F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit("fold")), F.lit(folds)).cast("int")
+    sample = work.save(texts.join(F.broadcast(chosen), "id").select("id", "text", fold.alias("fold"), *names), "sample")
+
+    by_fold = lambda c: [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).cast("double").alias(f"{c}_{f}") for f in range(folds)]
+    counts = [f"{c}{k}" for k in range(len(names)) for c in "np"]
+    stats = sample.select("text", "fold", *names).mapInArrow(_statistics(len(names)), "feature string, fold int, " + ", ".join(f"{c} long" for c in counts))
+    stats = work.save(stats.groupBy("feature").agg(*(x for c in counts for x in by_fold(c))), "features")
+    marks = sample.select("fold", *(x for k, n in enumerate(names) for x in (F.col(n).isNotNull().cast("int").alias(f"n{k}"), F.coalesce(n, F.lit(0)).alias(f"p{k}"))))
+    total = {c: x or 0.0 for c, x in marks.agg(*(x for c in counts for x in by_fold(c))).first().asDict().items()}
+    whole = [_picked(stats, total, k, None, folds, features) for k in range(len(names))]
+    # only a category that a later one follows is predicted out of fold
+    apart = [[_picked(stats, total, k, f, folds, features) for f in range(folds)] for k in range(len(names) - 1)]
+    kept = list(dict.fromkeys(f for own in whole for f in own))
+    every = list(dict.fromkeys([*kept, *(f for own in apart for part in own for f in part)]))
+    featurize = Featurizer(every)
 
     def featurized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [featurize(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c for c, _ in own], pa.list_(pa.int64())), pa.array([v for _, v in own], pa.list_(pa.float64())), *batch.columns[2:]], ["id", "c", "v", *names])
+            yield pa.RecordBatch.from_arrays([pa.array([np.array(c, np.int32).tobytes() for c, _ in own], pa.binary()), pa.array([np.array(v, np.float64).tobytes() for _, v in own], pa.binary()), *batch.columns[2:]], ["c", "v", "fold", *names])
+
+    frame = sample.orderBy("id", "text").mapInArrow(featurized, "c binary, v binary, fold int, " + ", ".join(f"{n} int" for n in names)).toPandas()
+    work.remove()
+    cols, vals = np.frombuffer(b"".join(frame["c"]), np.int32).astype(np.int64), np.frombuffer(b"".join(frame["v"]), np.float64)
+    x = Rows(np.repeat(np.arange(len(frame)), frame["c"].map(len).to_numpy(np.int64) // 4 if len(frame) else 0), cols, vals, (len(frame), featurize.width))
+    row_fold = frame["fold"].to_numpy(np.int64)
+
+    def own_columns(picked: list[str]) -> np.ndarray:
+        """A model sees its own category's features, the shares, and the earlier probabilities."""
+        own = np.ones(x.shape[1], bool)
+        own[: featurize.width - _N_SHARES] = False
+        for f in picked:
+            own[2 * featurize.place[f] : 2 * featurize.place[f] + 2] = True
+        return own
 
-    frame = sample.mapInArrow(featurized, "id long, c array<long>, v array<double>, " + ", ".join(f"{n} int" for n in names)).toPandas().sort_values("id", kind="stable")
-    sizes = frame["c"].map(len).to_numpy(np.int64) if len(frame) else np.zeros(0, np.int64)
-    x = Rows(np.repeat(np.arange(len(frame)), sizes), np.concatenate([*frame["c"], np.zeros(0)]).astype(np.int64), np.concatenate([*frame["v"], np.zeros(0)]).astype(np.float64), (len(frame), featurize.width))
-    fold = (frame["id"].to_numpy(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(folds)
     models = []
     for k, n in enumerate(names):
         y = frame[n].to_numpy(np.float64, na_value=np.nan)
         with_label = np.flatnonzero(~np.isnan(y))
-        # a model sees its own category's features, the shares, and the earlier probabilities
-        own = np.ones(x.shape[1], bool)
-        own[: featurize.width - _N_SHARES] = False
-        for f in picked[k]:
-            own[2 * featurize.place[f] : 2 * featurize.place[f] + 2] = True
-        seen = x.only(own)
-        models.append(fit_logistic(seen.take(with_label), y[with_label]))
+        w, b = fit_logistic(x.only(own_columns(whole[k])).take(with_label), y[with_label])
+        # of the features only those of some whole model go into the chain; the shares and probabilities stand behind them
+        models.append((np.concatenate((w[: 2 * len(kept)], w[2 * len(every) :])), b))
         if k + 1 < len(names):
             held = np.zeros(len(frame))
             for f in range(folds):
-                w, b = fit_logistic(seen.take(with_label[fold[with_label] != f]), y[with_label[fold[with_label] != f]])
-                held[fold == f] = sigmoid(seen.take(np.flatnonzero(fold == f)).times(w) + b)
+                seen, others = x.only(own_columns(apart[k][f])), with_label[row_fold[with_label] != f]
+                w, b = fit_logistic(seen.take(others), y[others])
+                held[row_fold == f] = sigmoid(seen.take(np.flatnonzero(row_fold == f)).times(w) + b)
             x = x.with_column(held)
-    work.drop("sample", "features")
-    return Chain(featurize, models)
+    return Chain(Featurizer(kept), models)
 
 
 def score(docs: DataFrame, chain: Chain, categories: Sequence[str], *, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """id, text, ``p_<category>`` of every row, and ``carry``."""
-    carried = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *carried)
+    base = docs.select(column(id_col).alias("id"), column(text_col).alias("text"), *carried(carry))
     sent, names = docs.sparkSession.sparkContext.broadcast(chain), base.columns
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +229,8 @@ def score(docs: DataFrame, chain: Chain, categories: Sequence[str], *, id_col: s
 
     schema = T.StructType([*(T.StructField(f"p{k}", T.DoubleType()) for k in range(len(categories))), *base.schema.fields])
     out = base.mapInArrow(scored, schema)
-    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), *(F.col(f"p{k}").alias(f"p_{c}") for k, c in enumerate(categories)), *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)))
+    result = [f"p_{c}" for c in categories]
+    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), *(F.col(f"p{k}").alias(c) for k, c in enumerate(result)), *given_back(carry, (id_col, text_col, *result)))
 
 
 def low_quality_and_toxic(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
