@@ -11,7 +11,9 @@ text), so a prefix takes one step from the last one and order matters.
 
 Results for odd input: rows without a conversation id belong to no conversation
 and are left out; rows repeated within a conversation (turn, role and text) count
-once; turns with the same number stand by role, then by hash; a null role
+once; turns with the same number stand by role, then by the text's MD5, nulls
+first in all three; a very long text goes along as its hashes until its
+conversation is known to stay, and one conversation is one task's; a null role
 is ``unknown`` and a null text is empty, both distinct from the spelled ones in
 comparison; columns other than the four are ignored; an empty table gives an
 empty table.
@@ -31,12 +33,12 @@ BEGIN, END = "<|im_start|>", "<|im_end|>"
 def _turns(rows: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
     role, text = F.col(role_col), F.col(text_col)
     own = [role.isNull(), role, text.isNull(), text]
-    return rows.where(F.col(conv_col).isNotNull()).select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), role.alias("role"), F.xxhash64(*own).alias("h1"), F.xxhash64(F.lit(17), *reversed(own)).alias("h2"), text.alias("text"))
+    return rows.where(F.col(conv_col).isNotNull()).select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), role.alias("role"), F.xxhash64(*own).alias("h1"), F.xxhash64(F.lit(17), *reversed(own)).alias("h2"), F.md5(text.cast("binary")).alias("tie"), text.alias("text"))
 
 
 def prefix_hashes(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv, position, n_turns, p1, p2): the rolling hash of each conversation's first turns."""
-    by = Window.partitionBy("conv").orderBy("turn", "role", "h1", "h2")
+    by = Window.partitionBy("conv").orderBy("turn", "role", "tie")
     turns = _turns(rows, conv_col, turn_col, role_col, text_col).drop("text")
     repeated = F.lag("turn").over(by).eqNullSafe(F.col("turn")) & F.lag("h1").over(by).eqNullSafe(F.col("h1")) & F.lag("h2").over(by).eqNullSafe(F.col("h2")) & (F.row_number().over(by) > 1)
     placed = turns.withColumn("repeated", repeated).where("not repeated").withColumn("position", F.row_number().over(by))
@@ -62,5 +64,5 @@ def render_maximal(rows: DataFrame, *, conv_col: str = "conv_id", turn_col: str
     kept = maximal_conversations(rows, **columns)
     turns = _turns(rows, **columns).join(kept, "conv")
     said = F.concat(F.lit(BEGIN), F.coalesce("role", F.lit("unknown")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(END + "\n"))
-    gathered = turns.groupBy("conv").agg(F.first("n_turns").alias("n_turns"), F.first("n_copies").alias("n_copies"), F.array_sort(F.collect_set(F.struct("turn", "role", "h1", "h2", said.alias("said")))).alias("all"))
+    gathered = turns.groupBy("conv").agg(F.first("n_turns").alias("n_turns"), F.first("n_copies").alias("n_copies"), F.array_sort(F.collect_set(F.struct("turn", "role", "tie", "h1", "h2", said.alias("said")))).alias("all"))
     return gathered.select(F.col("conv").alias(conv_col), "n_turns", "n_copies", F.array_join(F.transform("all", lambda t: t["said"]), "").alias("rendered"))

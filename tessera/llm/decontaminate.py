@@ -9,9 +9,13 @@ located through sampled suffix positions, and their word spans merged.
 Benchmark items are sent to the tasks in blocks of bounded size; with more than
 one block the finds of each block are written and merged per document.
 
-Results for odd input: null text has no words and is clean; an item without id or
-words is not searched; repeated items of one id are one item with the phrases of
-all; repeated documents are judged alike; columns that aren't carried are ignored.
+Results for odd input: null or empty text has no words and is clean; a very long
+text is a shard of its own; ids may be of any type; an item without id or words is
+not searched; repeated items of one id are one item with the phrases of all, equal
+phrases of several items count for each; repeated documents are judged alike; an
+empty table gives an empty table, and without items every document is clean;
+columns that aren't carried are ignored, and a carried one that is called like one
+of the result is given with ``_in`` added.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import types as T
 
 from tessera.llm import textarrays as ta
 from tessera.llm.fmindex import FMIndex
-from tessera.llm.workspace import Workspace
+from tessera.llm.workspace import Workspace, carried, column, given_back
 
 WIDTH = 13
 #: Code points of benchmark text that a block may hold.
@@ -156,11 +160,10 @@ def _searcher(sent):
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: Sequence[str] = (), block_points: int = BLOCK_POINTS) -> DataFrame:
     """id, text, n_words, n_hit, items (ids as strings, sorted), spans (code points, end exclusive) of every row, and ``carry``."""
     spark = docs.sparkSession
-    carried = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *carried)
+    base = docs.select(column(id_col).alias("id"), column(text_col).alias("text"), *carried(carry))
     kinds = base.schema.fields
     schema = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", SPANS), *kinds])
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
+    items = benchmark.select(column(item_col).cast("string").alias("item"), column(item_text_col).alias("text")).where("item is not null and text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // block_points) or 1
     if blocks > 1:
@@ -174,12 +177,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = WI
         out = searched[0]
     else:
         out = _merged(base, searched, Workspace(spark, "contamination"))
-    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_words", "n_hit", "items", "spans", *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)))
+    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_words", "n_hit", "items", "spans", *given_back(carry, (id_col, text_col, "n_words", "n_hit", "items", "spans")))
 
 
 def _merged(base: DataFrame, searched: list[DataFrame], work: Workspace) -> DataFrame:
     """Finds of several blocks: spans of a document joined where they overlap or only separators lie between neighbours' words."""
-    key = [F.coalesce("id", F.lit(-(2**63))).alias("key"), F.xxhash64("text").alias("text_key")]
+    kind = base.schema["id"].dataType
+    key = [F.col("id").alias("key"), F.xxhash64("text").alias("text_key")]
     finds = [work.save(x.where("n_hit > 0").select(*key, "items", F.transform("spans", lambda s: s).alias("spans"), "text").dropDuplicates(["key", "text_key"]), f"block-{i}") for i, x in enumerate(searched)]
     every = finds[0]
     for x in finds[1:]:
@@ -197,10 +201,11 @@ def _merged(base: DataFrame, searched: list[DataFrame], work: Workspace) -> Data
         names = sorted({x for own in table.column("items").to_pylist() for x in own})
         return pa.table({"key": table.column("key").slice(0, 1), "text_key": table.column("text_key").slice(0, 1), "n_hit": pa.array([int(hit.sum())]), "items": pa.array([names], pa.list_(pa.string())), "spans": pa.array([spans], _SPANS_ARROW)})
 
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", SPANS)])
+    schema = T.StructType([T.StructField("key", kind), T.StructField("text_key", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", SPANS)])
     joined = every.groupBy("key", "text_key").applyInArrow(merge, schema)
-    plain = searched[0].drop("n_hit", "items", "spans").withColumns({"key": key[0], "text_key": key[1]})
-    return plain.join(joined, ["key", "text_key"], "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), "items": F.coalesce("items", F.array().cast("array<string>")), "spans": F.coalesce("spans", F.array().cast(SPANS))})
+    joined = joined.withColumnRenamed("text_key", "found_key")
+    plain = searched[0].drop("n_hit", "items", "spans").withColumn("text_key", key[1])
+    return plain.join(joined, F.col("id").eqNullSafe(F.col("key")) & (F.col("text_key") == F.col("found_key")), "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), "items": F.coalesce("items", F.array().cast("array<string>")), "spans": F.coalesce("spans", F.array().cast(SPANS))})
 
 
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):

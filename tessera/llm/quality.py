@@ -6,8 +6,10 @@ asks for: applying one, comparing versions, and asking what a rule alone rejects
 are bitwise operations on the ledger and never look at a text again.
 
 All of it is DataFrame functions.  Results for odd input: null text counts as an
-empty one (no words, so it fails ``too_short``); repeated rows are measured each;
-columns that aren't carried are ignored; an empty table gives an empty ledger.
+empty one (no words, so it fails ``too_short``); a very long text is measured
+whole; repeated rows are measured each; columns that aren't carried are ignored,
+and a carried one that is called like a measurement is given with ``_in`` added; an
+empty table gives an empty ledger.
 Windows of words are compared by 64-bit hash within one text.
 """
 
@@ -19,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.workspace import carried, column, given_back
+
 WINDOW = 5
 _BLANK = r"[\x20\x09-\x0D]+"
 _BLANKS, _SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -62,8 +66,8 @@ CURRENT = "v1"
 
 def ledger(docs: DataFrame, *, text_col: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Columns of ``carry``, the measurements, and ``fail_bits``."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    read = docs.select(*carry, text.alias("text_read")).withColumn("words_read", F.filter(F.split("text_read", _BLANK), lambda w: w != ""))
+    text = F.coalesce(column(text_col), F.lit(""))
+    read = docs.select(*carried(carry), text.alias("text_read")).withColumn("words_read", F.filter(F.split("text_read", _BLANK), lambda w: w != ""))
     lines = F.filter(F.split("text_read", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     read = read.withColumns({
         "n_words": F.size("words_read").cast("long"),
@@ -90,7 +94,8 @@ def ledger(docs: DataFrame, *, text_col: str = "text", carry: Sequence[str] = ("
     total = bits[0]
     for b in bits[1:]:
         total = total.bitwiseOR(b)
-    return read.withColumn("fail_bits", total.cast("long"))
+    result = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+    return read.select(*given_back(carry, (*result, "fail_bits")), *result, total.cast("long").alias("fail_bits"))
 
 
 def rejected_by(version: str) -> Column:

@@ -113,7 +113,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 WITH t AS (
-  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text) NULLS FIRST) AS pos
   FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL)
 ), p AS (
   SELECT conv_id, pos, count(*) OVER (PARTITION BY conv_id) AS n,

@@ -8,10 +8,14 @@
 4. Only candidates are matched against a rule; a rule without mandatory trigrams
    is matched against every text.
 
-All of it is DataFrame functions.  Results for odd input: null text is empty and
-has no span; a null id is a key of its own; rows that share an id share
-candidates and are matched each; columns that aren't carried are ignored; an
-empty table gives an empty table.  Spans are in code points, end exclusive.
+All of it is DataFrame functions.  Results for odd input: null or empty text has no
+span; a very long text is matched whole; ids may be of any type (postings hold
+their hash, so a clash of hashes makes a candidate more); a null id is a key of
+its own; rows that share an id share candidates and are matched each; spans that
+begin together stand in the order of the rules; columns that aren't carried are
+ignored, and a carried one that is called like one of the result is given with
+``_in`` added; an empty table gives an empty table.  Spans are in code points, end
+exclusive.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.trigrams import Query, trigram_query, trigrams_of
-from tessera.llm.workspace import Workspace
+from tessera.llm.workspace import Workspace, carried, column, given_back
 
 SHARD_DOCS, SENT_ROWS = 4096, 500_000
 
@@ -97,7 +101,7 @@ def _spans(rule: Secret, rank: int, text: Column) -> Column:
 
 def find_secrets(docs: DataFrame, *, rules: Sequence[Secret] = RULES, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """id, ``secrets`` (structs start, rank, end, kind by start and rank) of every row, and ``carry``."""
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
+    base = docs.select(column(id_col).alias("id"), F.xxhash64(column(id_col)).alias("key"), F.coalesce(column(text_col), F.lit("")).alias("text"), *carried(carry))
     work = Workspace(docs.sparkSession, "secrets")
     chosen = work.save(candidates(base, rules), "candidates")
     if chosen.count() <= SENT_ROWS:
@@ -111,7 +115,7 @@ def find_secrets(docs: DataFrame, *, rules: Sequence[Secret] = RULES, id_col: st
         asks = F.col("rule_bits").bitwiseAND(F.lit(1 << i).cast("long")) != 0 if indexed else F.lit(True)
         found[f"spans_{i}"] = F.when(asks & text.rlike(r.pattern), _spans(r, i, text)).otherwise(none)
     every = F.sort_array(F.concat(*(F.col(n) for n in found)))
-    return asked.withColumns(found).select(F.col("id").alias(id_col), every.alias("secrets"), *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)))
+    return asked.withColumns(found).select(F.col("id").alias(id_col), every.alias("secrets"), *given_back(carry, (id_col, "secrets")))
 
 
 def written(spans: Column) -> Column:
