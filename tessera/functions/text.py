@@ -13,8 +13,9 @@ BOLD, ITALIC = "bold|black|heavy", "italic|oblique"
 
 
 def _folding() -> tuple[str, str]:
-    """Letters of the Latin blocks that decompose into one base letter and marks, and these base letters."""
-    pairs = [(chr(c), "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))) for c in range(0xC0, 0x250)]
+    """Letters of the Latin, Greek and Cyrillic blocks and of full width that decompose into one letter and marks, and these letters."""
+    blocks = ((0xA0, 0x250), (0x370, 0x530), (0x1E00, 0x2000), (0xFF00, 0xFFF0))
+    pairs = [(chr(c), "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))) for block in blocks for c in range(*block)]
     pairs = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
@@ -29,7 +30,7 @@ def normalize(text: Column) -> Column:
 
 
 def fold_accents(text: Column) -> Column:
-    """Precomposed Latin letters by their base letters, then without combining marks."""
+    """Precomposed letters by their base letters, then without combining marks."""
     return F.regexp_replace(F.translate(text, *_folding()), r"\p{M}+", "")
 
 

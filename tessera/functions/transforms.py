@@ -40,6 +40,11 @@ def _matches(text: Column, pattern: str) -> Column:
     return text.rlike(rf"^(?:{pattern})\z")
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _lookup(pairs: Sequence[tuple[str, object]], key: Column) -> Column:
     """Value of a small literal map; of equal keys the last pair counts."""
     flat = [x for k, v in dict(pairs).items() for x in (F.lit(k), F.lit(v))]
@@ -59,8 +64,8 @@ class Transformer:
     def __call__(self, raw: Column, **context: Column) -> Column:
         if self.python:
             return self.apply(raw, **context)
-        # bound to a variable once: the cases below name it often, and inlined they outgrow generated code
-        return F.get(F.transform(F.array(raw), lambda r: self.apply(r, **context)), F.lit(0))
+        # bound once: the cases below name it often, and inlined they outgrow generated code
+        return _let(raw, lambda r: self.apply(r, **context))
 
 
 # --- generic
@@ -191,15 +196,16 @@ def _number(text: Column) -> Column:
     return F.when(_matches(text, _NUMBER), text.try_cast(MONEY))
 
 
-def strip_currency(raw: Column) -> tuple[Column, Column]:
-    """The first sign goes everywhere, then codes go and name the currency."""
+def strip_currency(raw: Column) -> Column:
+    """STRUCT<body, currency>: the first sign goes everywhere, then codes go and name the currency."""
     t = _text(raw)
-    without, sign = t, F.lit(None).cast("string")
-    for mark, code in reversed(SIGNS):
-        here = F.contains(t, F.lit(mark))
-        without, sign = F.when(here, F.replace(t, F.lit(mark), F.lit(""))).otherwise(without), F.when(here, code).otherwise(sign)
-    code = F.upper(F.nullif(F.regexp_extract(without, _CODES, 1), F.lit("")))
-    return strip(F.regexp_replace(without, _CODES, "")), F.coalesce(code, sign)
+    mark, sign = F.lit(""), F.lit(None).cast("string")
+    for m, code in reversed(SIGNS):
+        here = F.contains(t, F.lit(m))
+        mark, sign = F.when(here, m).otherwise(mark), F.when(here, code).otherwise(sign)
+    return _let(F.struct(F.replace(t, mark, F.lit("")).alias("text"), sign.alias("sign")), lambda s: F.struct(
+        strip(F.regexp_replace(s["text"], _CODES, "")).alias("body"), F.coalesce(F.upper(F.nullif(F.regexp_extract(s["text"], _CODES, 1), F.lit(""))), s["sign"]).alias("currency"),
+    ))
 
 
 def parse_eu(text: Column) -> Column:
@@ -226,13 +232,17 @@ def money_text(money: Column) -> Column:
 
 
 def _amount(name: str, parse: Callable[[Column], Column], forced: str | None = None) -> Transformer:
-    def apply(raw: Column, **_: Column) -> Column:
-        body, currency = strip_currency(raw)
-        value = parse(body)
-        cases: list[Case] = [(_text(raw) == "", None, 0.0, "empty"), (value.isNull(), None, 0.0, "amount_unparseable")]
+    def verdict(said: Column) -> Column:
+        """Of STRUCT<blank, amount, currency>."""
+        amount, currency = said["amount"], said["currency"]
+        cases: list[Case] = [(said["blank"], None, 0.0, "empty"), (amount.isNull(), None, 0.0, "amount_unparseable")]
         if forced:
-            return _verdict(MONEY_TYPE, [*cases, (True, _money(value, F.lit(forced)), 1.0, None)])
-        return _verdict(MONEY_TYPE, [*cases, (currency.isNull(), _money(value, currency), 0.7, "currency_ambiguous"), (True, _money(value, currency), 1.0, None)])
+            return _verdict(MONEY_TYPE, [*cases, (True, _money(amount, F.lit(forced)), 1.0, None)])
+        return _verdict(MONEY_TYPE, [*cases, (currency.isNull(), _money(amount, currency), 0.7, "currency_ambiguous"), (True, _money(amount, currency), 1.0, None)])
+
+    def apply(raw: Column, **_: Column) -> Column:
+        blank = (_text(raw) == "").alias("blank")
+        return _let(strip_currency(raw), lambda s: _let(F.struct(blank, parse(s["body"]).alias("amount"), s["currency"].alias("currency")), verdict))
 
     return Transformer(name, MONEY_TYPE, apply)
 
@@ -248,8 +258,7 @@ def amount_currency(code: str) -> Transformer:
 
 
 def _by_last(eu: Column, us: Column, none: Column, text: Column) -> Column:
-    comma, dot = _last(text, ","), _last(text, ".")
-    return F.when(comma > dot, eu).when(dot > comma, us).otherwise(none)
+    return _let(F.struct(_last(text, ",").alias("comma"), _last(text, ".").alias("dot")), lambda at: F.when(at["comma"] > at["dot"], eu).when(at["dot"] > at["comma"], us).otherwise(none))
 
 
 #: The last separator is the decimal sign.
@@ -258,8 +267,8 @@ amount_auto = _amount("amount_auto", lambda body: _by_last(parse_eu(body), parse
 
 def _plain(name: str, kind: str, body: Callable[[Column], Column], value: Callable[[Column], Column], issue: str) -> Transformer:
     def apply(raw: Column, **_: Column) -> Column:
-        found = value(body(_text(raw)))
-        return _verdict(kind, [(_text(raw) == "", None, 0.0, "empty"), (found.isNotNull(), found, 1.0, None), (True, None, 0.0, issue)])
+        said = F.struct((_text(raw) == "").alias("blank"), value(body(_text(raw))).alias("found"))
+        return _let(said, lambda s: _verdict(kind, [(s["blank"], None, 0.0, "empty"), (s["found"].isNotNull(), s["found"], 1.0, None), (True, None, 0.0, issue)]))
 
     return Transformer(name, kind, apply)
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import box, prefixed
 from tessera.functions.text import is_bold, is_italic, strip
+from tessera.operators.fuse import fusion_stats
 
 _BOX = ("x", "y", "w", "h")
 #: Labels that no context needs.
@@ -76,6 +77,65 @@ def merged_table_cells(items: DataFrame, blocks: DataFrame, rects: DataFrame) ->
     return placed.where("cell is not null").select(*key, "cell.row", "cell.col", "item_idx", "y", "x", "text")
 
 
+def _span() -> Column:
+    """Of an item, in reading order: y, x, item_idx, then what a span shows."""
+    return F.struct(
+        "y", "x", "item_idx", F.coalesce("text", F.lit("")).alias("text"), "font_name", "font_size",
+        is_bold(F.col("font_name")).alias("is_bold"), is_italic(F.col("font_name")).alias("is_italic"), _quad(),
+    )
+
+
+_SPAN = "struct<text:string,font_name:string,font_size:double,is_bold:boolean,is_italic:boolean,bbox:array<double>>"
+
+
+def _shown(spans: Column) -> Column:
+    """Spans in reading order, without what orders them."""
+    return F.transform(F.array_sort(spans), lambda s: F.struct(*(s[c].alias(c) for c in ("text", "font_name", "font_size", "is_bold", "is_italic", "bbox"))))
+
+
+def merged_blocks(items: DataFrame, blocks: DataFrame, rects: DataFrame) -> DataFrame:
+    """O3, A16 in rows: (doc_id, pos, page, block_idx, label, level, layer, bbox, spans or cells), blocks by page, y, x, then input order.
+
+    A table has ``cells``, a matrix of lists of spans: of the shape of its grid, with items in no cell left out; without a
+    grid of the shape of ``blocks.cells`` (if the relation has them) or 1 x 1, with all spans in the first cell.
+    """
+    key = ["doc_id", "page", "block_idx"]
+    own = blocks if "cells" in blocks.columns else blocks.withColumn("cells", F.lit(None).cast("array<array<string>>"))
+    inside = items_in_blocks(items, own.select("doc_id", "page", "block_idx", *_BOX)).withColumnRenamed("b_block_idx", "block_idx")
+    spans = inside.groupBy(*key).agg(F.collect_list(_span()).alias("found"))
+    grids = block_grids(blocks, rects).select(*key, "table_grid")
+    every = own.join(spans, key, "left").join(grids, key, "left")
+    none = F.array().cast(f"array<{_SPAN}>")
+    wide = lambda rows: F.array_max(F.transform(rows, lambda r: F.size(r)))
+    found = F.coalesce("found", F.array().cast(spans.schema["found"].dataType))
+    holds = lambda c, s: (s["x"] + s["bbox"][2] / 2).between(c["x"], c["x"] + c["w"]) & (s["y"] + s["bbox"][3] / 2).between(c["y"], c["y"] + c["h"])
+    # the first cell in row order that holds the span's centre, as one number
+    first = lambda s: F.array_min(F.flatten(F.transform("table_grid", lambda row, r: F.transform(row, lambda c, k: F.when(c.isNotNull() & holds(c, s), r * 100_000 + k)))))
+    placed = F.transform(found, lambda s: F.struct(first(s).alias("cell"), s.alias("span")))
+    every = every.withColumn("placed", F.when(F.col("table_grid").isNotNull(), placed))
+    n_rows, n_cols = (F.coalesce(x, F.lit(1)) for x in (F.size(F.coalesce("table_grid", "cells_shape")), wide(F.coalesce("table_grid", "cells_shape"))))
+    shape = F.transform("cells", lambda row: F.transform(row, lambda c: F.lit(None).cast("struct<x:double,y:double,w:double,h:double>")))
+    every = every.withColumn("cells_shape", F.when(F.size("cells") > 0, shape)).withColumns({"n_rows": F.greatest(n_rows, F.lit(1)), "n_cols": F.greatest(n_cols, F.lit(1))})
+    inner = lambda r, k: F.when(
+        F.col("placed").isNotNull(), _shown(F.transform(F.filter("placed", lambda p: p["cell"] == r * 100_000 + k), lambda p: p["span"])),
+    ).when((r == 0) & (k == 0), _shown(found)).otherwise(none)
+    matrix = F.transform(F.sequence(F.lit(0), F.col("n_rows") - 1), lambda r: F.transform(F.sequence(F.lit(0), F.col("n_cols") - 1), lambda k: inner(r, k)))
+    is_table = F.col("label") == "table"
+    order = Window.partitionBy("doc_id").orderBy("page", "y", "x", "block_idx")
+    return every.select(
+        "doc_id", (F.row_number().over(order) - 1).cast("int").alias("pos"), "page", "block_idx", "label", F.col("heading_level").alias("level"), F.coalesce("content_layer", F.lit("body")).alias("layer"), _quad(),
+        F.when(~is_table, _shown(found)).alias("spans"), F.when(is_table, matrix).alias("cells"),
+    )
+
+
+def merged_document(docs: DataFrame, items: DataFrame, blocks: DataFrame, rects: DataFrame) -> DataFrame:
+    """(doc_id, page_count, blocks) of every document of ``docs``; without blocks none and no page."""
+    rows = merged_blocks(items, blocks, rects)
+    block = F.struct("pos", *(c for c in rows.columns if c not in ("doc_id", "pos")))
+    one = rows.groupBy("doc_id").agg(F.max("page").alias("page_count"), F.array_sort(F.collect_list(block)).alias("blocks"))
+    return docs.select("doc_id").distinct().join(one, "doc_id", "left").select("doc_id", F.coalesce("page_count", F.lit(0)).alias("page_count"), F.coalesce("blocks", F.array().cast(one.schema["blocks"].dataType)).alias("blocks"))
+
+
 def contained_text(regions: DataFrame, items: DataFrame, key: str) -> DataFrame:
     """(doc_id, key, contained_text): texts of the items inside a region in input order, joined by blanks."""
     r = regions.select("doc_id", "page", key, *prefixed(_BOX, "r_"))
@@ -94,17 +154,32 @@ def text_items_payload(items: DataFrame) -> DataFrame:
 
 
 def blocks_payload(blocks: DataFrame, items: DataFrame) -> DataFrame:
-    """Block rows with the first 120 characters and the contained text."""
+    """One JSON text per block, with its first 120 characters, and its cells or else the contained text."""
     said = contained_text(blocks, items, "block_idx")
-    return blocks.join(said, ["doc_id", "page", "block_idx"]).select("doc_id", "block_idx", F.to_json(F.struct("label", F.col("heading_level").alias("level"), F.col("content_layer").alias("layer"), "page", _quad(), F.left("text", F.lit(120)).alias("text"), "contained_text")).alias("payload"))
+    own = blocks if "cells" in blocks.columns else blocks.withColumn("cells", F.lit(None).cast("array<array<string>>"))
+    cells = F.when(F.size("cells") > 0, F.col("cells")).alias("cells")
+    text = F.when(F.coalesce(F.size("cells"), F.lit(0)) <= 0, F.col("contained_text")).alias("contained_text")
+    return own.join(said, ["doc_id", "page", "block_idx"]).select("doc_id", "block_idx", F.to_json(F.struct("label", F.col("heading_level").alias("level"), F.col("content_layer").alias("layer"), "page", _quad(), F.left(F.coalesce("text", F.lit("")), F.lit(120)).alias("text"), cells, text)).alias("payload"))
 
 
 def rects_payload(rects: DataFrame, items: DataFrame) -> DataFrame:
-    """Rectangle rows with the shape of the grid and the contained text."""
+    """Rectangle rows with the shape of the grid, and the cells if there are any or else the contained text."""
     said = contained_text(rects, items, "rect_idx")
     cols = F.array_max(F.transform("table_grid", lambda r: F.size(r)))
     shape = F.when(F.size("table_grid") > 0, F.concat(F.size("table_grid").cast("string"), F.lit(" rows x "), cols.cast("string"), F.lit(" cols")))
-    return rects.withColumn("grid_shape", shape).join(said, ["doc_id", "page", "rect_idx"]).select("doc_id", "rect_idx", "rect_id", "rect_type", "is_filled", "page", "grid_shape", "contained_text")
+    text = F.when(F.coalesce(F.size("cells"), F.lit(0)) <= 0, F.col("contained_text")).alias("contained_text") if "cells" in rects.columns else F.col("contained_text")
+    return rects.withColumn("grid_shape", shape).join(said, ["doc_id", "page", "rect_idx"]).select("doc_id", "rect_idx", "rect_id", "rect_type", "is_filled", "page", _quad(), "grid_shape", *(["cells"] if "cells" in rects.columns else []), text)
+
+
+def fusion_payload(fused: DataFrame, n: int = 3) -> DataFrame:
+    """(doc_id, items_count, matched_to_block, matched_to_box, coverage, sample_texts) of a fusion."""
+    return fusion_stats(fused).withColumnRenamed("total_items", "items_count").join(first_texts(fused, n).select("doc_id", "sample_texts"), "doc_id")
+
+
+def step_boxes(items: DataFrame, blocks: DataFrame, rects: DataFrame) -> DataFrame:
+    """(doc_id, kind, idx, page, x, y, w, h): all boxes of a document, texts first, then blocks, then rectangles."""
+    own = lambda rows, kind, idx: rows.select("doc_id", F.lit(kind).alias("kind"), F.col(idx).alias("idx"), "page", *_BOX)
+    return own(items, "0-text", "item_idx").unionByName(own(blocks, "1-block", "block_idx")).unionByName(own(rects, "2-rect", "rect_idx"))
 
 
 def first_texts(items: DataFrame, n: int = 3) -> DataFrame:

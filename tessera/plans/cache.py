@@ -20,20 +20,26 @@ def split_by_cache(docs: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataF
     return docs.join(keys, "cache_key", "left_semi"), docs.join(keys, "cache_key", "left_anti")
 
 
+def _prefix() -> Column:
+    """Of 256; a letter first, so that no partition is read as a number."""
+    return F.concat(F.lit("k"), F.substring("cache_key", 1, 2))
+
+
 class TableCache:
     """Rows with ``cache_key``, partitioned by its first two digits; older than ``ttl_s`` they don't count.
 
-    Of a key written twice the later rows count.
+    Of a key written twice the later rows count, until ``compact`` drops the others.
     """
 
     def __init__(self, spark: SparkSession, path: str, ttl_s: float | None = None):
         self.spark, self.path, self.ttl_s = spark, path, ttl_s
 
     def put(self, rows: DataFrame, now: float | None = None) -> None:
-        stamped = rows.withColumns({"cached_at": F.lit(time.time() if now is None else now), "prefix": F.substring("cache_key", 1, 2)})
+        stamped = rows.withColumns({"cached_at": F.lit(time.time() if now is None else now), "prefix": _prefix()})
         stamped.write.mode("append").partitionBy("prefix").parquet(self.path)
 
-    def get(self, now: float | None = None) -> DataFrame | None:
+    def get(self, now: float | None = None, keys: DataFrame | None = None) -> DataFrame | None:
+        """What counts, or None if there is no table; ``keys`` (cache_key): only these, of which only the partitions are read."""
         try:
             rows = self.spark.read.parquet(self.path)
         except Exception as e:  # no table yet
@@ -42,18 +48,42 @@ class TableCache:
             raise
         if self.ttl_s is not None:
             rows = rows.where(F.col("cached_at") >= (time.time() if now is None else now) - self.ttl_s)
+        if keys is not None:
+            asked = keys.select("cache_key").distinct()
+            prefixes = [r[0] for r in asked.select(_prefix()).distinct().collect()]  # at most 256
+            rows = rows.where(F.col("prefix").isin(*prefixes)).join(asked, "cache_key", "left_semi")
         last = rows.groupBy("cache_key").agg(F.max("cached_at").alias("cached_at"))
         return rows.join(last, ["cache_key", "cached_at"], "left_semi").drop("prefix")
 
+    def compact(self, now: float | None = None) -> None:
+        """Writes what counts to a new folder and puts it in the old one's place: rows that were replaced or are too old go."""
+        rows = self.get(now)
+        if rows is None:
+            return
+        fresh = f"{self.path.rstrip('/')}-compact"
+        rows.withColumn("prefix", _prefix()).write.mode("overwrite").partitionBy("prefix").parquet(fresh)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        files = path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.delete(path(self.path), True)
+        files.rename(path(fresh), path(self.path))
 
-class MemoryCache:
-    """DataFrames by name, kept in executor memory."""
-
-    def __init__(self) -> None:
-        self.tables: dict[str, DataFrame] = {}
-
-    def put(self, name: str, rows: DataFrame) -> None:
-        self.tables[name] = rows.cache()
 
-    def get(self, name: str) -> DataFrame | None:
-        return self.tables.get(name)
+class MemoryCache:
+    """DataFrames by name, kept in executor memory; older than ``ttl_s`` they don't count and are let go."""
+
+    def __init__(self, ttl_s: float | None = None) -> None:
+        self.ttl_s = ttl_s
+        self.tables: dict[str, tuple[float, DataFrame]] = {}
+
+    def put(self, name: str, rows: DataFrame, now: float | None = None) -> None:
+        self.tables[name] = (time.time() if now is None else now, rows.cache())
+
+    def get(self, name: str, now: float | None = None) -> DataFrame | None:
+        if name not in self.tables:
+            return None
+        at, rows = self.tables[name]
+        if self.ttl_s is not None and (time.time() if now is None else now) - at > self.ttl_s:
+            rows.unpersist()
+            del self.tables[name]
+            return None
+        return rows

@@ -10,6 +10,7 @@ from tessera.operators import documents, fuse, pairing, rects, trace
 from tessera.operators.pairing import FieldSpec
 from tessera.plans import layouts
 from tessera.plans.catalog import query
+from tessera.sources import engines
 from tessera.sources.staging import staged
 
 _L = layouts.LAYOUT_SQL
@@ -34,7 +35,7 @@ def _iou(a: str, b: str) -> str:
     return f"(CASE WHEN {union} > 0 THEN ({_overlap(a, b)}) / {union} ELSE 0.0 END)"
 
 
-_BASE = f"items AS ({_L['items']}), blocks AS ({_L['blocks']}), rects AS ({_L['rects']})"
+_BASE = f"items AS MATERIALIZED ({_L['items']}), blocks AS MATERIALIZED ({_L['blocks']}), rects AS MATERIALIZED ({_L['rects']})"
 _MB = f"""mb0 AS (
   SELECT i.doc_id, i.page, i.item_idx, b.block_idx, b.label, b.heading_level, {_holds('b', 'i')} AS hit, {_area('b')} AS area, {_iou('b', 'i')} AS iou
   FROM items i JOIN blocks b ON i.doc_id = b.doc_id AND i.page = b.page
@@ -74,7 +75,12 @@ def _relations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 
 
 def fused_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged(fuse.fuse(*_relations(spark, sf_dir)), "fused")
+    return fuse.fuse(*_relations(spark, sf_dir))
+
+
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For queries that read it more than once."""
+    return staged(fused_items(spark, sf_dir), "fused")
 
 
 # --- geometry
@@ -111,22 +117,22 @@ def geom_union_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- fusion
 
 
-@query(f"WITH items AS ({_L['items']}), blocks AS ({_L['blocks']}), {_MB} SELECT * FROM mb")
+@query(f"WITH items AS MATERIALIZED ({_L['items']}), blocks AS MATERIALIZED ({_L['blocks']}), {_MB} SELECT * FROM mb")
 def fused_block_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse.match_blocks(layouts.items(spark, sf_dir), layouts.blocks(spark, sf_dir))
 
 
-@query(f"WITH items AS ({_L['items']}), rects AS ({_L['rects']}), {_MR} SELECT * FROM mr")
+@query(f"WITH items AS MATERIALIZED ({_L['items']}), rects AS MATERIALIZED ({_L['rects']}), {_MR} SELECT * FROM mr")
 def fused_enclosing_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse.match_rects(layouts.items(spark, sf_dir), layouts.rects(spark, sf_dir))
 
 
-@query(f"WITH items AS ({_L['items']}), rects AS ({_L['rects']}), {_MC} SELECT * FROM mc")
+@query(f"WITH items AS MATERIALIZED ({_L['items']}), rects AS MATERIALIZED ({_L['rects']}), {_MC} SELECT * FROM mc")
 def fused_table_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse.match_cells(layouts.items(spark, sf_dir), layouts.rects(spark, sf_dir))
 
 
-@query(f"WITH items AS ({_L['items']}), rects AS ({_L['rects']}), {_MR}, {_TITLES} SELECT * FROM titles")
+@query(f"WITH items AS MATERIALIZED ({_L['items']}), rects AS MATERIALIZED ({_L['rects']}), {_MR}, {_TITLES} SELECT * FROM titles")
 def fused_section_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse.section_titles(fuse.with_rects(layouts.items(spark, sf_dir), layouts.rects(spark, sf_dir)))
 
@@ -161,6 +167,12 @@ def step_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.first_texts(layouts.items(spark, sf_dir))
 
 
+@query(f"{FUSED_SQL} SELECT doc_id, item_idx, page, text, block_label, enclosing_box_id, section_title FROM fused WHERE doc_id = 7 AND item_idx = 3")
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One item by its key."""
+    return fuse.point_lookup(fused_items(spark, sf_dir), doc_id=7, item_idx=3).select("doc_id", "item_idx", "page", "text", "block_label", "enclosing_box_id", "section_title")
+
+
 # --- rectangles
 
 _CLASS = """CASE WHEN w BETWEEN 5 AND 22 AND h BETWEEN 5 AND 22 AND abs(w - h) / greatest(w, h) <= 0.35 THEN 'checkbox'
@@ -195,10 +207,52 @@ def table_grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.select("doc_id", "rect_id", "row", F.size("cells").cast("long").alias("n_cells"))
 
 
+_RAW_RECTS = "SELECT CAST(floor(o_orderkey / 30.0) AS BIGINT) AS doc_id, CAST(o_orderkey % 2 + 1 AS INT) AS page, CAST(o_orderkey % 30 AS INT) AS seq, CAST((o_custkey * 17) % 420 AS DOUBLE) AS x0, CAST((o_orderkey * 29) % 780 AS DOUBLE) AS top, CAST((o_custkey * 17) % 420 + CASE WHEN o_orderkey % 3 = 0 THEN 6 + o_custkey % 14 ELSE 4 + (o_custkey * 5) % 200 END AS DOUBLE) AS x1, CAST((o_orderkey * 29) % 780 + CASE WHEN o_orderkey % 3 = 0 THEN 6 + o_custkey % 14 ELSE 4 + (o_orderkey * 3) % 40 END AS DOUBLE) AS bottom, o_orderkey % 7 = 0 AS fill, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_custkey % 2 AS INT) END AS non_stroking, CAST(792 AS DOUBLE) AS page_height FROM orders WHERE o_orderkey % 30 < 26"
+_RAW_TABLES = "SELECT CAST(floor(o_orderkey / 30.0) AS BIGINT) AS doc_id, CAST(o_orderkey % 2 + 1 AS INT) AS page, CAST(o_orderkey % 30 - 26 AS INT) AS seq, CAST(o_custkey % 300 AS DOUBLE) AS x0, CAST(o_custkey % 500 AS DOUBLE) AS top, CAST(o_custkey % 300 + 200 AS DOUBLE) AS x1, CAST(o_custkey % 500 + 90 AS DOUBLE) AS bottom FROM orders WHERE o_orderkey % 30 >= 26"
+
+
+@query(f"""WITH r AS ({_RAW_RECTS}), t AS ({_RAW_TABLES}), c AS (
+  SELECT doc_id, page, seq, x0 AS x, top AS y, x1 - x0 AS w, bottom - top AS h, coalesce(non_stroking <> 0, false) OR coalesce(fill, false) AS coloured FROM r),
+ k AS (SELECT *, {_CLASS} AS rect_type FROM c),
+ f AS (SELECT k.*, coloured OR (rect_type = 'checkbox' AND EXISTS (SELECT 1 FROM k i WHERE i.doc_id = k.doc_id AND i.page = k.page AND i.seq <> k.seq AND i.x >= k.x AND i.y >= k.y AND i.x + i.w <= k.x + k.w AND i.y + i.h <= k.y + k.h AND i.w * i.h >= 0.25 * k.w * k.h)) AS is_filled FROM k),
+ u AS (SELECT doc_id, page, 0 AS part, seq, x0 AS x, top AS y, x1 - x0 AS w, bottom - top AS h, 'p' || page || '-t' || seq AS rect_id, 'table' AS rect_type, false AS is_filled, seq % 2 = 0 AS gridded FROM t
+  UNION ALL SELECT doc_id, page, 1, seq, x, y, w, h, 'p' || page || '-r' || seq, rect_type, is_filled, false FROM f)
+ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, part, seq) - 1 AS INT) AS rect_idx, page, x, y, w, h, rect_id, rect_type, rect_type = 'checkbox' AS is_checkbox, is_filled,
+  CASE WHEN gridded THEN '2,1' END AS grid_shape, CASE WHEN part = 0 AND seq % 3 <> 2 THEN 'a||b' END AS cells FROM u""")
+def engine_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a vector engine gives, some cells missing, every second table without a grid."""
+    layouts.table(spark, sf_dir, "orders").createOrReplaceTempView("engine_orders")
+    own, tables = (spark.sql(q.replace("FROM orders", "FROM engine_orders")) for q in (_RAW_RECTS, _RAW_TABLES))
+    cell = "named_struct('x', x0, 'y', top, 'w', 100D, 'h', 45D)"
+    grid = f"CASE WHEN seq % 2 = 0 THEN array(array({cell}, {cell}), array(CAST(NULL AS STRUCT<x:DOUBLE,y:DOUBLE,w:DOUBLE,h:DOUBLE>)), array(CAST(NULL AS STRUCT<x:DOUBLE,y:DOUBLE,w:DOUBLE,h:DOUBLE>), {cell})) END"
+    tables = tables.withColumns({"grid": F.expr(grid), "texts": F.expr("CASE WHEN seq % 3 <> 2 THEN array(array('a', NULL, 'b')) END")})
+    found = engines.rects_of(own, tables)
+    shape = F.array_join(F.transform("table_grid", lambda r: F.size(r).cast("string")), ",")
+    return found.select("doc_id", "rect_idx", "page", "x", "y", "w", "h", "rect_id", "rect_type", "is_checkbox", "is_filled", shape.alias("grid_shape"), F.array_join(F.get("cells", F.lit(0)), "|").alias("cells"))
+
+
+_RAW_BLOCKS = "SELECT CAST(floor(o_orderkey / 30.0) AS BIGINT) AS doc_id, CAST(o_orderkey % 30 AS INT) AS seq, CASE WHEN o_orderkey % 11 = 0 THEN 'background' WHEN o_orderkey % 4 = 0 THEN 'furniture' ELSE 'body' END AS layer, CASE o_orderkey % 3 WHEN 0 THEN 'section_header' WHEN 1 THEN 'table' ELSE 'text' END AS label, CAST(o_orderkey % 3 + 1 AS INT) AS level, CASE WHEN o_orderkey % 5 > 0 THEN concat('block ', CAST(o_orderkey AS STRING)) END AS text, CAST(o_orderkey % 3 AS INT) AS page, CAST(o_custkey % 300 AS DOUBLE) AS l, CAST(o_custkey % 500 AS DOUBLE) AS t, o_orderkey % 7 AS seventh FROM orders"
+
+
+@query(f"""WITH r AS ({_RAW_BLOCKS}) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS INT) AS block_idx, page, l AS x, CASE WHEN seq % 2 = 0 THEN 792 - (t + 40) ELSE t END AS y, CAST(120 AS DOUBLE) AS w, CAST(40 AS DOUBLE) AS h, label,
+  CASE WHEN label = 'section_header' THEN level END AS heading_level, layer AS content_layer, coalesce(text, '') AS text, CASE WHEN label = 'table' AND seq % 2 = 1 THEN 'x|;|y' END AS cells FROM r WHERE layer <> 'background' AND seventh <> 0 AND page > 0""")
+def engine_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a semantic engine gives: some stand nowhere, some on a page without a height, half measured from the bottom."""
+    layouts.table(spark, sf_dir, "orders").createOrReplaceTempView("engine_orders")
+    raw = spark.sql(_RAW_BLOCKS.replace("FROM orders", "FROM engine_orders"))
+    place = "named_struct('page', page, 'l', l + 120, 't', CASE WHEN seq % 2 = 0 THEN t + 40 ELSE t END, 'r', l, 'b', CASE WHEN seq % 2 = 0 THEN t ELSE t + 40 END, 'origin', CASE WHEN seq % 2 = 0 THEN 'bottom' ELSE 'top' END)"
+    other = "named_struct('page', 9, 'l', 0D, 't', 0D, 'r', 1D, 'b', 1D, 'origin', 'top')"
+    grid = "CASE WHEN seq % 2 = 1 THEN array(array(named_struct('text', 'x'), named_struct('text', CAST(NULL AS STRING))), array(CAST(NULL AS STRUCT<text:STRING>), named_struct('text', 'y'))) ELSE array() END"
+    raw = raw.withColumns({"prov": F.expr(f"CASE WHEN seventh = 0 THEN array() ELSE array({place}, {other}) END"), "grid": F.expr(grid)})
+    pages = raw.select("doc_id", "page").distinct().withColumn("height", F.when(F.col("page") > 0, 792.0))
+    said = F.array_join(F.transform("cells", lambda row: F.array_join(row, "|")), ";")
+    return engines.blocks_of(raw, pages).withColumn("cells", said)
+
+
 # --- pairing
 
 _LABEL = "regexp_matches(text, ':\\s*$')"
-_FORM = f"WITH form AS ({_L['form']}), form_rects AS ({_L['form_rects']})"
+_FORM = f"WITH form AS MATERIALIZED ({_L['form']}), form_rects AS MATERIALIZED ({_L['form_rects']})"
 SPECS = [
     FieldSpec("pedido.fecha", ("Fecha",), True), FieldSpec("pedido.importe", ("Importe",), True), FieldSpec("cliente"),
     FieldSpec("estado", ("Estado",), False, ("F", "O", "P")), FieldSpec("pedido.numero", ("Número",), True),
@@ -208,7 +262,7 @@ SPECS = [
 def fused_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     form, boxes = layouts.form(spark, sf_dir), layouts.form_rects(spark, sf_dir)
     none = layouts.blocks(spark, sf_dir).where("false")
-    return staged(fuse.fuse(form, none, boxes), "form")
+    return fuse.fuse(form, none, boxes)
 
 
 @query(f"""{_FORM}, rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y, x, item_idx) AS rn FROM form),
@@ -243,21 +297,17 @@ def det_label_item(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_FORM}, {_LABELS}, {_RIGHT} SELECT doc_id, field_name, item_idx FROM rights WHERE k = 1")
 def det_value_right(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = fused_form(spark, sf_dir)
-    return pairing.values_right(fused, pairing.label_items(fused, SPECS)).select("doc_id", "field_name", "item_idx")
+    return pairing.values_right(fused_form(spark, sf_dir), SPECS).select("doc_id", "field_name", "item_idx")
 
 
 @query(f"{_FORM}, {_LABELS}, {_BELOW} SELECT doc_id, field_name, item_idx FROM belows WHERE k = 1")
 def det_value_below(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = fused_form(spark, sf_dir)
-    return pairing.values_below(fused, pairing.label_items(fused, SPECS)).select("doc_id", "field_name", "item_idx")
+    return pairing.values_below(fused_form(spark, sf_dir), SPECS).select("doc_id", "field_name", "item_idx")
 
 
 @query(f"{_FORM}, {_LABELS}, {_TICK} SELECT doc_id, field_name, item_idx FROM ticks")
 def det_checkbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = fused_form(spark, sf_dir)
-    labels = pairing.label_items(fused, SPECS).where("field_name = 'estado'")
-    return pairing.values_checkbox(fused, layouts.form_rects(spark, sf_dir), labels, SPECS).select("doc_id", "field_name", "item_idx")
+    return pairing.values_checkbox(fused_form(spark, sf_dir), layouts.form_rects(spark, sf_dir), SPECS).select("doc_id", "field_name", "item_idx")
 
 
 @query(f"{_FORM}, {_BOUND} SELECT doc_id, field_name, value, item_idx, x, y, section_title, 'deterministic_pair' AS match_method, 1.0::DOUBLE AS match_score, page FROM bound")
@@ -317,10 +367,23 @@ _PATHS = f"""big AS (SELECT doc_id, enclosing_box_id AS rect_id, text AS title,
 
 @query(f"{FUSED_SQL}, {_PATHS} SELECT doc_id, item_idx, array_to_string(path, ' > ') AS path FROM ends".replace("WITH items", "WITH RECURSIVE items", 1))
 def section_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = trace.section_paths(fused_items(spark, sf_dir), layouts.rects(spark, sf_dir))
+    paths = trace.section_paths(_written(spark, sf_dir), layouts.rects(spark, sf_dir))
     return paths.select("doc_id", "item_idx", F.array_join("path", " > ").alias("path"))
 
 
+@query(f"""{_FORM}, {_BOUND} SELECT doc_id, field_name AS field, item_idx, text_items, block_idx, CASE WHEN boxed THEN CAST(0 AS INT) END AS rect_idx, path FROM (
+  SELECT b.*, (SELECT string_agg(CAST(i.item_idx AS VARCHAR), ',' ORDER BY i.item_idx) FROM form i WHERE i.doc_id = b.doc_id AND i.item_idx = b.item_idx) AS text_items, CAST(NULL AS INT) AS block_idx, true AS boxed, section_title AS path FROM bound b)""")
+def trace_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chains of paired values."""
+    form, boxes = layouts.form(spark, sf_dir), layouts.form_rects(spark, sf_dir)
+    none = layouts.blocks(spark, sf_dir).where("false")
+    fused = staged(fused_form(spark, sf_dir), "form")
+    bound = pairing.pair_fields(fused, boxes, SPECS).select("doc_id", F.col("field_name").alias("field"), "source_items")
+    chains = trace.provenance(fused.drop("block_idx"), form, none, boxes)
+    found = trace.trace_values(bound, chains)
+    return found.select("doc_id", "field", "item_idx", F.array_join(F.transform("text_items", lambda i: i.cast("string")), ",").alias("text_items"), "block_idx", "rect_idx", F.array_join("path", " > ").alias("path"))
+
+
 # --- documents
 
 
@@ -340,12 +403,15 @@ def merged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "page", "block_idx", "label", F.coalesce(said, F.lit("")).alias("spans"))
 
 
-@query(f"""WITH items AS ({_L['items']}), b AS ({_L['blocks']}), rects AS ({_L['rects']}), g AS (SELECT b.doc_id, b.block_idx, r.rect_idx, r.x, r.y, r.w, r.h, {_iou('b', 'r')} AS iou, row_number() OVER (PARTITION BY b.doc_id, b.block_idx ORDER BY {_iou('b', 'r')} DESC, r.rect_idx) AS k
+_TABLE_CELLS = f"""items AS MATERIALIZED ({_L['items']}), b AS MATERIALIZED ({_L['blocks']}), rects AS MATERIALIZED ({_L['rects']}), g AS (SELECT b.doc_id, b.block_idx, r.rect_idx, r.x, r.y, r.w, r.h, {_iou('b', 'r')} AS iou, row_number() OVER (PARTITION BY b.doc_id, b.block_idx ORDER BY {_iou('b', 'r')} DESC, r.rect_idx) AS k
   FROM b JOIN rects r ON r.doc_id = b.doc_id AND r.page = b.page AND r.rect_type = 'table' WHERE b.label = 'table'),
  gg AS (SELECT * FROM g WHERE k = 1 AND iou >= 0.3),
  i AS (SELECT b.doc_id, b.block_idx, i.item_idx, i.text, i.x + i.w / 2 AS cx, i.y + i.h / 2 AS cy FROM b JOIN items i ON i.doc_id = b.doc_id AND i.page = b.page AND {_holds('b', 'i')} WHERE b.label = 'table'),
  c AS (SELECT i.*, CAST(r AS INT) AS row, CAST(c AS INT) AS col, row_number() OVER (PARTITION BY i.doc_id, i.block_idx, i.item_idx ORDER BY r, c) AS k FROM i JOIN gg USING (doc_id, block_idx), range(0, 3) AS a(r), range(0, 3) AS e(c)
-  WHERE cx BETWEEN gg.x + c * (gg.w / 3) AND gg.x + c * (gg.w / 3) + gg.w / 3 AND cy BETWEEN gg.y + r * (gg.h / 3) AND gg.y + r * (gg.h / 3) + gg.h / 3)
+  WHERE cx BETWEEN gg.x + c * (gg.w / 3) AND gg.x + c * (gg.w / 3) + gg.w / 3 AND cy BETWEEN gg.y + r * (gg.h / 3) AND gg.y + r * (gg.h / 3) + gg.h / 3)"""
+
+
+@query(f"""WITH {_TABLE_CELLS}
  SELECT doc_id, block_idx, item_idx, row, col, text FROM c WHERE k = 1
  UNION ALL SELECT i.doc_id, i.block_idx, item_idx, 0, 0, text FROM i WHERE NOT EXISTS (SELECT 1 FROM gg WHERE gg.doc_id = i.doc_id AND gg.block_idx = i.block_idx)""")
 def merged_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,6 +419,55 @@ def merged_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "block_idx", "item_idx", "row", "col", "text")
 
 
+@query(f"""WITH {_TABLE_CELLS},
+ p AS (SELECT doc_id, block_idx, item_idx, row, col, text FROM c WHERE k = 1 UNION ALL SELECT i.doc_id, i.block_idx, item_idx, 0, 0, text FROM i WHERE NOT EXISTS (SELECT 1 FROM gg WHERE gg.doc_id = i.doc_id AND gg.block_idx = i.block_idx)),
+ said AS (SELECT p.doc_id, p.block_idx, row, col, string_agg(p.text, ' ' ORDER BY i.y, i.x, i.item_idx) AS t FROM p JOIN items i ON i.doc_id = p.doc_id AND i.item_idx = p.item_idx GROUP BY ALL),
+ cells AS (SELECT b.doc_id, b.block_idx, r, q FROM b LEFT JOIN gg USING (doc_id, block_idx), range(0, 3) AS x(r), range(0, 3) AS y(q) WHERE b.label = 'table' AND (gg.rect_idx IS NOT NULL OR (r = 0 AND q = 0))),
+ rows_ AS (SELECT cells.doc_id, cells.block_idx, r, string_agg(coalesce(t, ''), '|' ORDER BY q) AS t FROM cells LEFT JOIN said ON said.doc_id = cells.doc_id AND said.block_idx = cells.block_idx AND row = r AND col = q GROUP BY ALL),
+ tabs AS (SELECT doc_id, block_idx, string_agg(t, ';' ORDER BY r) AS cells FROM rows_ GROUP BY ALL),
+ sp AS (SELECT b.doc_id, b.block_idx, string_agg(i.text, ' ' ORDER BY i.y, i.x, i.item_idx) AS spans FROM b JOIN items i ON i.doc_id = b.doc_id AND i.page = b.page AND {_holds('b', 'i')} GROUP BY ALL)
+ SELECT b.doc_id, max(page) OVER (PARTITION BY b.doc_id) AS page_count, CAST(row_number() OVER (PARTITION BY b.doc_id ORDER BY page, y, x, b.block_idx) - 1 AS INT) AS pos, b.block_idx, label, heading_level AS level, content_layer AS layer, x, h, CASE WHEN label <> 'table' THEN coalesce(spans, '') END AS spans, cells
+ FROM b LEFT JOIN sp USING (doc_id, block_idx) LEFT JOIN tabs USING (doc_id, block_idx)""")
+def merged_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of each merged document, in order."""
+    items, blocks, own = _relations(spark, sf_dir)
+    whole = documents.merged_document(blocks, items, blocks, own)
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: s["text"]), " ")
+    b = whole.select("doc_id", "page_count", F.inline("blocks"))
+    cells = F.array_join(F.transform("cells", lambda row: F.array_join(F.transform(row, said), "|")), ";")
+    return b.select("doc_id", "page_count", "pos", "block_idx", "label", "level", "layer", F.col("bbox")[0].alias("x"), F.col("bbox")[3].alias("h"), said("spans").alias("spans"), cells.alias("cells"))
+
+
+@query(f"""WITH items AS ({_L['items']}) SELECT doc_id, item_idx, text, font_name AS font, CAST(font_size AS DOUBLE) AS size, page, x, h FROM items""")
+def text_items_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents.text_items_payload(layouts.items(spark, sf_dir))
+    said = F.from_json("payload", "text string, font string, size double, page int, bbox array<double>")
+    return rows.select("doc_id", "item_idx", said.alias("p")).select("doc_id", "item_idx", "p.text", "p.font", "p.size", "p.page", F.col("p.bbox")[0].alias("x"), F.col("p.bbox")[3].alias("h"))
+
+
+@query(f"""WITH items AS ({_L['items']}), b AS ({_L['blocks']}), t AS (SELECT b.doc_id, b.block_idx, coalesce(string_agg(trim(i.text), ' ' ORDER BY i.item_idx), '') AS said FROM b LEFT JOIN items i ON i.doc_id = b.doc_id AND i.page = b.page AND {_holds('b', 'i')} GROUP BY b.doc_id, b.block_idx)
+ SELECT b.doc_id, b.block_idx, label, heading_level AS level, content_layer AS layer, b.page, b.y, left(b.text, 120) AS text, CASE WHEN label <> 'table' OR b.block_idx % 2 = 0 THEN said END AS contained_text, CASE WHEN label = 'table' AND b.block_idx % 2 = 1 THEN 'a|b' END AS cells
+ FROM b JOIN t ON t.doc_id = b.doc_id AND t.block_idx = b.block_idx""")
+def blocks_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With cells in every second table."""
+    blocks = layouts.blocks(spark, sf_dir).withColumn("cells", F.expr("CASE WHEN label = 'table' AND block_idx % 2 = 1 THEN array(array('a', 'b')) END"))
+    rows = documents.blocks_payload(blocks, layouts.items(spark, sf_dir))
+    said = F.from_json("payload", "label string, level int, layer string, page int, bbox array<double>, text string, cells array<array<string>>, contained_text string")
+    return rows.select("doc_id", "block_idx", said.alias("p")).select("doc_id", "block_idx", "p.label", "p.level", "p.layer", "p.page", F.col("p.bbox")[1].alias("y"), "p.text", "p.contained_text", F.array_join(F.get("p.cells", F.lit(0)), "|").alias("cells"))
+
+
+@query(f"""{FUSED_SQL}, s AS (SELECT doc_id, string_agg(text, ' | ' ORDER BY item_idx) AS sample_texts FROM fused WHERE item_idx < 3 AND text <> '' GROUP BY doc_id)
+ SELECT f.doc_id, count(*) AS items_count, count(*) FILTER (WHERE match_method <> 'none') AS matched_to_block, count(enclosing_box_id) AS matched_to_box, round(count(*) FILTER (WHERE match_method <> 'none') / CAST(count(*) AS DOUBLE), 4) AS coverage, any_value(sample_texts) AS sample_texts
+ FROM fused f LEFT JOIN s ON s.doc_id = f.doc_id GROUP BY f.doc_id""")
+def fuse_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.fusion_payload(_written(spark, sf_dir))
+
+
+@query(f"WITH {_BASE} SELECT doc_id, '0-text' AS kind, item_idx AS idx, page, x, y, w, h FROM items UNION ALL SELECT doc_id, '1-block', block_idx, page, x, y, w, h FROM blocks UNION ALL SELECT doc_id, '2-rect', rect_idx, page, x, y, w, h FROM rects")
+def step_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.step_boxes(*_relations(spark, sf_dir))
+
+
 @query(f"""WITH items AS ({_L['items']}), b AS ({_L['blocks']}) SELECT b.doc_id, b.page, b.block_idx, coalesce(string_agg(trim(i.text), ' ' ORDER BY i.item_idx), '') AS contained_text
  FROM b LEFT JOIN items i ON i.doc_id = b.doc_id AND i.page = b.page AND {_holds('b', 'i')} GROUP BY ALL""")
 def contained_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,7 +477,7 @@ def contained_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH items AS ({_L['items']}), r AS ({_L['rects']}) SELECT r.doc_id, r.rect_idx, r.rect_id, r.rect_type, r.is_filled, r.page, CASE WHEN rect_type = 'table' THEN '3 rows x 3 cols' END AS grid_shape, coalesce(string_agg(trim(i.text), ' ' ORDER BY i.item_idx), '') AS contained_text
  FROM r LEFT JOIN items i ON i.doc_id = r.doc_id AND i.page = r.page AND {_holds('r', 'i')} GROUP BY ALL""")
 def rects_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.rects_payload(layouts.rects(spark, sf_dir), layouts.items(spark, sf_dir))
+    return documents.rects_payload(layouts.rects(spark, sf_dir), layouts.items(spark, sf_dir)).drop("bbox")
 
 
 @query(f"{_FORM}, {_BOUND}, asked AS (SELECT DISTINCT doc_id, f.* FROM form, (VALUES (0, 'pedido.fecha', 'Fecha', 'Fecha'), (1, 'pedido.importe', 'Importe', 'Importe'), (2, 'cliente', 'Cliente', 'Cliente'), (3, 'estado', 'Estado', 'Estado'), (4, 'pedido.numero', 'Número', 'Número')) AS f(field_pos, field, label_searched, l)) SELECT a.doc_id, field, label_searched, CASE WHEN b.value IS NOT NULL THEN l END AS label_found, b.value AS value_raw, b.value IS NOT NULL AS matched, b.page FROM asked a LEFT JOIN bound b ON b.doc_id = a.doc_id AND b.field_pos = a.field_pos")

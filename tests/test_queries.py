@@ -8,10 +8,6 @@ from tessera.plans import layout_queries, value_queries  # noqa: F401
 from tessera.plans.catalog import QUERIES, SQL
 from tests.oracle import assert_same, connect
 
-#: These may be empty on the smallest tables.
-MAY_BE_EMPTY = {"issues_by_type"}
-
-
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return connect(sf_dir)
@@ -22,7 +18,7 @@ def test_query(name, spark, sf_dir, con):
     df = QUERIES[name](spark, sf_dir)
     if name in SQL:
         assert_same(df, con, SQL[name])
-    assert name in MAY_BE_EMPTY or not df.isEmpty()
+    assert not df.isEmpty()
 
 
 def test_entry(spark, sf_dir):

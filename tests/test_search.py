@@ -68,17 +68,19 @@ def test_search_against_brute_force(spark, monkeypatch, threshold, block):
 
 
 def test_every_pair_is_searched(spark, tables):
-    got = {(r.doc_id, r.field_pos): r.match_method for r in QUERIES["bind_substring_whole"](spark, tables).collect()}
+    got = {(r.doc_id, r.field_pos): r.match_method for r in QUERIES["bind_substring"](spark, tables).collect()}
     assert len(got) == len(TEXTS) * len(PASSAGES)
     assert got[1, 0] == got[41, 45] == got[41, 1] == "substring" and got[2, 2] == "exact"
-    sources = {(r.doc_id, r.field_pos): r.source_items for r in QUERIES["bind_sources_whole"](spark, tables).collect()}
+    sources = {(r.doc_id, r.field_pos): r.source_items for r in QUERIES["bind_sources"](spark, tables).collect()}
     assert len(sources) == len(got) and sources[1, 0] == "1" and sources[2, 2] == "0"
-    issues = QUERIES["issues_all_whole"](spark, tables).collect()
+    issues = QUERIES["issues_all"](spark, tables).collect()
     lost = {(r.doc_id, r.field_pos) for r in issues if r.issue_type == "hallucination"}
     want = brute(PASSAGES, TEXTS, 0.85)
     assert lost == {k for k, v in want.items() if v[0] == "not_found"} and want[5, 2][0] == "fuzzy"
     assert sources[5, 2] == "0" and all((k not in lost) == bool(v) for k, v in sources.items())
-    assert {r.doc_id: r.issue_types for r in QUERIES["issues_by_type_whole"](spark, tables).collect()}[2] == "role_mismatch"
+    assert {r.doc_id: r.issue_types for r in QUERIES["issues_by_type"](spark, tables).collect()}[2] == "hallucination,role_mismatch"
+    dropped = QUERIES["issues_dropped"](spark, tables).collect()
+    assert {(r.doc_id, r.field_pos) for r in dropped if r.issue_type == "role_mismatch"} >= {(2, 2)} and all(r.issue_type != "hallucination" for r in dropped)
 
 
 def test_whole_passages_are_altered(spark, tables):
@@ -89,6 +91,23 @@ def test_whole_passages_are_altered(spark, tables):
     assert fuzzy[7, 2][0] == fuzzy[6, 0][0] == "fuzzy"
     docs = spark.createDataFrame([(1, "x " + PASSAGES[0] + " y"), (2, PASSAGES[0][:20] + " " + made(11, 40))], "doc_id long, text string")
     docs.write.mode("overwrite").parquet(f"{tables}/documents.parquet")
-    soft = {(r.doc_id, r.field_pos): (r.match_method, r.match_score) for r in QUERIES["bind_soft_whole"](spark, tables).collect()}
+    soft = {(r.doc_id, r.field_pos): (r.match_method, r.match_score) for r in QUERIES["bind_soft"](spark, tables).collect()}
     assert soft[1, 0] == ("substring", 0.9) and soft[2, 0][0] == "not_found"
     assert QUERIES["bind_fuzzy"](spark, tables).where("doc_id = 2 AND field_pos = 0 AND match_method <> 'not_found'").isEmpty()
+
+
+def test_best_window_is_the_first_of_the_best():
+    rng = np.random.default_rng(2)
+
+    def plain(needle, hay):
+        n = len(needle)
+        own = [(at, binding.ratio(needle, hay[at : at + n])) for at in range(0, len(hay) - n + 1, max(1, n // 4))]
+        good = [at for at, r in own if r >= 97]
+        return good[0] if good else max(own, key=lambda x: (x[1], -x[0]))[0] if own else -1
+
+    for _ in range(300):
+        hay = "".join(rng.choice(list("abc "), rng.integers(1, 60)))
+        at = rng.integers(0, len(hay))
+        needle = hay[at : at + rng.integers(1, 50)] if rng.random() < 0.5 else "".join(rng.choice(list("abc"), rng.integers(1, 12)))
+        needle = needle[:-1] + "x" if rng.random() < 0.5 else needle
+        assert binding.best_window(needle, hay) == plain(needle, hay)
