@@ -120,9 +120,80 @@ class Scripted:
         return Answer(text, self.model, len(prompt.split()), len(text.split()))
 
 
+#: Words in the names of a client's errors, and in messages, that tell what went wrong; the first that fits counts.
+ERRORS = (
+    (RateLimited, ("RateLimit", "Quota", "ResourceExhausted"), ("429",)),
+    (TimedOut, ("Timeout", "DeadlineExceeded", "Connection"), ()),
+    (BadAnswer, ("APIStatus", "BadRequest", "Invalid"), ()),
+)
+
+
+def error_of(e: Exception) -> ModelError:
+    """A client's own error as one of ours."""
+    if isinstance(e, ModelError):
+        return e
+    name, said = type(e).__name__, str(e)
+    kind = next((k for k, names, words in ERRORS if any(x in name for x in names) or any(x in said for x in words)), None)
+    return kind(said) if kind else ModelError(f"{name}: {said}")
+
+
+def price_of(model: str, tokens_in: int, tokens_out: int) -> float:
+    """L15 on the driver or in a worker."""
+    price = next(((i, o) for m, i, o in PRICES if m == model), (0.0, 0.0))
+    return round((tokens_in * price[0] + tokens_out * price[1]) / 1_000_000, 8)
+
+
+@dataclass(frozen=True)
+class RoutedClient:
+    """A provider over a router of models, whose client is made by ``open`` on the executor.
+
+    ``send(client, request)`` gives a chat completion as a dictionary. With route ``fallback`` the models are tried here one
+    after the other; another route (``lowest-cost``, ``fastest``) hands the whole list to the router. The cost is the router's.
+    """
+
+    open: Callable[[], object]
+    send: Callable[[object, dict], dict]
+    models: tuple[str, ...]
+    route: str = "fallback"
+    headers: tuple[tuple[str, str], ...] = ()
+    as_json: bool = True
+
+    def __post_init__(self) -> None:
+        if not self.models:
+            raise ValueError("no model")
+
+    def model_id(self) -> str:
+        return "RoutedClient:" + "|".join(self.models)
+
+    def request(self, model: str, system: str, prompt: str) -> dict:
+        body: dict = {"usage": {"include": True}}
+        if self.route != "fallback" and len(self.models) > 1:
+            body |= {"models": list(self.models), "route": self.route}
+        asked = {"model": model, "messages": [{"role": "system", "content": system}, {"role": "user", "content": prompt}], "extra_headers": dict(self.headers) or None, "extra_body": body}
+        return asked | ({"response_format": {"type": "json_object"}} if self.as_json else {})
+
+    def complete(self, system: str, prompt: str) -> Answer:
+        client, last = self.open(), None
+        for model in self.models if self.route == "fallback" else self.models[:1]:
+            try:
+                return self._read(self.send(client, self.request(model, system, prompt)), model)
+            except Exception as e:
+                last = error_of(e)
+        raise last
+
+    @staticmethod
+    def _read(raw: dict, model: str) -> Answer:
+        said = next((c.get("message") or {} for c in raw.get("choices") or ()), {}).get("content")
+        if not said:
+            raise BadAnswer("an empty answer")
+        usage = raw.get("usage") or {}
+        cost = usage.get("cost")
+        return Answer(said, raw.get("model") or model, int(usage.get("prompt_tokens") or 0), int(usage.get("completion_tokens") or 0), float(cost) if isinstance(cost, (int, float)) else 0.0)
+
+
 @dataclass(frozen=True)
 class ChatClient:
-    """A provider over a vendor's own client, made by ``open`` on the executor.
+    """A provider over a vendor's own client, made by ``open`` on the executor; its errors become ours.
 
     ``send(client, model, system, prompt)`` gives text and token counts; cost is by the price list.
     """
@@ -136,9 +207,13 @@ class ChatClient:
         return f"{self.name}:{self.model}"
 
     def complete(self, system: str, prompt: str) -> Answer:
-        text, tokens_in, tokens_out = self.send(self.open(), self.model, system, prompt)
-        price = next(((i, o) for m, i, o in PRICES if m == self.model), (0.0, 0.0))
-        return Answer(text, self.model, tokens_in, tokens_out, round((tokens_in * price[0] + tokens_out * price[1]) / 1_000_000, 8))
+        try:
+            text, tokens_in, tokens_out = self.send(self.open(), self.model, system, prompt)
+        except Exception as e:
+            raise error_of(e) from e
+        if not text:
+            raise BadAnswer("an empty answer")
+        return Answer(text, self.model, tokens_in, tokens_out, price_of(self.model, tokens_in, tokens_out))
 
 
 def aggregate_cost(calls: DataFrame) -> DataFrame:

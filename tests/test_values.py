@@ -152,6 +152,86 @@ def test_retry_and_fallbacks():
     assert both.complete("s", "p").usd == 1.25 and both.model_id() == "Fallbacks:A:a|B:gpt-5"
 
 
+def test_routes_and_errors():
+    from tessera.plans.providers import BadAnswer, RoutedClient, TimedOut, error_of
+
+    class APITimeoutError(Exception):
+        pass
+
+    asked = []
+
+    def send(client, request):
+        asked.append(request)
+        if request["model"] == "a":
+            raise APITimeoutError("slow")
+        return {"model": "b-1", "choices": [{"message": {"content": "" if request["model"] == "empty" else "{}"}}], "usage": {"prompt_tokens": 3, "completion_tokens": 2, "cost": 0.5}}
+
+    got = RoutedClient(object, send, ("a", "b"), headers=(("X", "y"),)).complete("s", "p")
+    assert (got.model_used, got.tokens_in, got.usd) == ("b-1", 3, 0.5) and [r["model"] for r in asked] == ["a", "b"]
+    assert asked[0]["extra_headers"] == {"X": "y"} and asked[0]["response_format"] == {"type": "json_object"} and "models" not in asked[0]["extra_body"]
+    RoutedClient(object, send, ("b", "a"), route="lowest-cost").complete("s", "p")
+    assert asked[-1]["extra_body"] == {"usage": {"include": True}, "models": ["b", "a"], "route": "lowest-cost"}
+    for models, kind in ((("a",), TimedOut), (("a", "empty"), BadAnswer)):
+        with pytest.raises(kind):
+            RoutedClient(object, send, models).complete("s", "p")
+    with pytest.raises(ValueError):
+        RoutedClient(object, send, ())
+    assert isinstance(error_of(RuntimeError("HTTP 429")), RateLimited) and type(error_of(RuntimeError("x"))) is ModelError
+    with pytest.raises(BadAnswer):
+        ChatClient("A", "a", object, lambda *_: ("", 1, 1)).complete("s", "p")
+
+
+def test_steps_of_bundled_cached_and_failed_runs(spark, tmp_path):
+    from tessera.plans.steps import BUNDLED_PLAIN_STEPS, CACHE_STEPS, EXPLANATIONS, TITLES, explanation_for
+
+    items, blocks, boxes = relations(spark)
+    assert [s.name for s in Pipeline(SCHEMA, parallel_extract=True).run(items, blocks, boxes).steps] == list(BUNDLED_PLAIN_STEPS)
+    seen = []
+    run = Pipeline(SCHEMA, callback=seen.append, cache_dir=f"file://{tmp_path}/results")
+    docs = spark.createDataFrame([(1, "one")], "doc_id long, content string")
+    first = run.run_cached(docs, items, blocks, boxes).count()
+    seen.clear()
+    again = run.run_cached(docs, items, blocks, boxes)
+    assert again.count() == first and [s.name for s in seen] == list(CACHE_STEPS) and seen[-1].is_terminal
+    TableCache(spark, f"file://{tmp_path}/results").compact()
+    assert run.run_cached(docs, items, blocks, boxes).count() == first
+
+    def broken(*_):
+        raise ZeroDivisionError("no")
+
+    seen.clear()
+    with pytest.raises(ZeroDivisionError):
+        Pipeline(SCHEMA, fuse_with=broken, callback=seen.append).run(items, blocks, boxes)
+    assert [s.name for s in seen] == ["start", "cache_check", "extract_all", "error"] and seen[-1].payload == {"error": "ZeroDivisionError", "message": "no"}
+    # a step is there before the next one's work
+    steps = Pipeline(SCHEMA, fuse_with=broken).stream(items, blocks, boxes)
+    assert [next(steps).name for _ in range(3)] == ["start", "cache_check", "extract_all"]
+    out = Pipeline(SCHEMA).run(items, blocks, boxes)
+    by = {s.name: s for s in out.steps}
+    assert by["extract_text"].payload["samples"].first().items_count == 6 and by["fuse"].payload["stats"].first().items_count == 6
+    assert by["extract_rects"].payload["boxes"].count() == 1 and out.merged.first().page_count == 0
+    assert set(EXPLANATIONS) == set(TITLES) and explanation_for("fuse", "xx") == EXPLANATIONS["fuse"][0] and explanation_for("nope") == ""
+
+
+def test_memory_cache_lets_go(spark):
+    memory = MemoryCache(ttl_s=10)
+    memory.put("x", spark.range(3), now=100.0)
+    assert memory.get("x", now=105.0).count() == 3 and memory.get("x", now=111.0) is None and memory.get("x", now=105.0) is None
+
+
+def test_merged_document_shapes(spark):
+    from tessera.operators.documents import merged_document
+
+    items = spark.createDataFrame([item(0, "b", 60, 20), item(1, "a", 10, 20), item(2, "c", 10, 40)], ITEMS)
+    blocks = spark.createDataFrame([(1, 0, 1, 0.0, 10.0, 200.0, 60.0, "table", None, "body", "", [["x", "y"], ["z"]]), (1, 1, 1, 0.0, 0.0, 200.0, 60.0, "text", None, None, "t", None)], BLOCKS + ", cells array<array<string>>")
+    rects = spark.createDataFrame([rect(0, 0, 0, 600, 600)], RECTS)
+    got = {r.doc_id: r for r in merged_document(spark.createDataFrame([(1,), (2,)], "doc_id long"), items, blocks, rects).collect()}
+    assert (got[2].page_count, got[2].blocks) == (0, []) and got[1].page_count == 1
+    text, table = got[1].blocks
+    assert (text.label, table.label, text.layer) == ("text", "table", "body") and [s.text for s in text.spans] == ["a", "b", "c"] and text.spans[0].bbox[:2] == [10.0, 20.0]
+    assert [[len(c) for c in row] for row in table.cells] == [[3, 0], [0, 0]]
+
+
 def test_cache(spark, tmp_path):
     cache = TableCache(spark, f"file://{tmp_path}/cache", ttl_s=10)
     assert cache.get() is None
