@@ -82,6 +82,20 @@ FROM f
 """
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy version rejects, alone and with others, from the ledger's masks."""
+    return quality.ablations(quality.ledger(read(spark, sf_dir, "documents"), carry=()))
+
+
+_BITS = ("too_short", "repeated_windows", "symbols", "repeated_lines", "word_length")
+ABLATIONS_SQL = f"""
+WITH led AS (SELECT fail_bits FROM ({OP5_SQL})
+), asked(policy, mask, rule, bit) AS (VALUES {", ".join(f"('{v}', {sum(1 << k for k in own)}, '{_BITS[k]}', {1 << k})" for v, own in (("base", (0, 1)), ("v1", range(5))) for k in own)})
+SELECT policy, rule, count(*) FILTER (WHERE fail_bits & bit <> 0) AS n_failed, count(*) FILTER (WHERE fail_bits & mask <> 0) AS n_rejected, count(*) FILTER (WHERE fail_bits & mask = bit) AS n_only_this
+FROM led, asked GROUP BY policy, rule
+"""
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents repeated so that sources weigh as the square root of their size, in shuffled order."""
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_copies", "copy", "shuffle_key")
@@ -244,6 +258,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_html_text": op4_html_text,
     "op5_quality_rules": op5_quality_rules,
+    "quality_ablations": quality_ablations,
     "op6_mix_sources": op6_mix_sources,
     "op7_secret_scan": op7_secret_scan,
     "op8_line_dedup": op8_line_dedup,
@@ -254,6 +269,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
     "op5_quality_rules": OP5_SQL,
+    "quality_ablations": ABLATIONS_SQL,
     "op6_mix_sources": OP6_SQL,
     "op7_secret_scan": _op7_sql(),
     "op8_line_dedup": OP8_SQL,
