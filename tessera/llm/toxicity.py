@@ -156,6 +156,20 @@ def _picked(stats: DataFrame, total: dict[str, float], k: int, held: int | None,
     return [r["feature"] for i, r in enumerate(best) if i < AT_LEAST or r["gain"] >= GAIN]
 
 
+def _unpacked(places: Sequence[bytes], values: Sequence[bytes], kind: type, width: int) -> Rows:
+    """What a ``Featurizer`` gives of some texts, of the places and densities of their features with the shares behind them."""
+    n = np.array([len(c) for c in places], np.int64) // np.dtype(kind).itemsize
+    place = np.frombuffer(b"".join(places), kind).astype(np.int64)
+    value = np.frombuffer(b"".join(values), np.float32).astype(np.float64)
+    end = np.cumsum(n + _N_SHARES)
+    is_share = np.zeros(len(value), bool)
+    is_share[(end[:, None] - np.arange(_N_SHARES, 0, -1)).ravel()] = True
+    row = np.repeat(np.arange(len(n)), n)
+    rows = np.concatenate((row, row, np.repeat(np.arange(len(n)), _N_SHARES)))
+    cols = np.concatenate((2 * place, 2 * place + 1, np.tile(np.arange(width - _N_SHARES, width), len(n))))
+    return Rows(rows, cols, np.concatenate((np.ones(len(place)), value[~is_share], value[is_share])), (len(n), width))
+
+
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, folds: int = FOLDS) -> Chain:
     """Models for the 0/1 columns ``categories`` of ``labels``, in that order."""
     names = [f"y{k}" for k in range(len(categories))]
@@ -179,15 +193,22 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *,
     every = list(dict.fromkeys([*kept, *(f for own in apart for part in own for f in part)]))
     featurize = Featurizer(every)
 
+    small = np.uint16 if len(every) < 1 << 16 else np.int32
+
     def featurized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of (h, text, fold, labels): the features' places and densities, and the shares behind these; presence follows from them."""
         for batch in batches:
             own = [featurize(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([np.array(c, np.int32).tobytes() for c, _ in own], pa.binary()), pa.array([np.array(v, np.float64).tobytes() for _, v in own], pa.binary()), *batch.columns[2:]], ["c", "v", "fold", *names])
+            places = pa.array([(np.array(c[:-_N_SHARES:2], np.int64) // 2).astype(small).tobytes() for c, _ in own], pa.binary())
+            values = pa.array([np.array(v[1:-_N_SHARES:2] + v[-_N_SHARES:], np.float32).tobytes() for _, v in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), places, values, *batch.columns[2:]], ["h", "c", "v", "fold", *names])
 
-    frame = sample.orderBy("id", "text").mapInArrow(featurized, "c binary, v binary, fold int, " + ", ".join(f"{n} int" for n in names)).toPandas()
+    hashed = sample.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text", "fold", *names)
+    frame = hashed.mapInArrow(featurized, "h long, c binary, v binary, fold int, " + ", ".join(f"{n} int" for n in names)).toPandas()
     work.remove()
-    cols, vals = np.frombuffer(b"".join(frame["c"]), np.int32).astype(np.int64), np.frombuffer(b"".join(frame["v"]), np.float64)
-    x = Rows(np.repeat(np.arange(len(frame)), frame["c"].map(len).to_numpy(np.int64) // 4 if len(frame) else 0), cols, vals, (len(frame), featurize.width))
+    # rows that are equal in these are equal, so the order is the same in every run
+    frame = frame.sort_values(["h", *names], kind="stable", na_position="first").reset_index(drop=True)
+    x = _unpacked(frame["c"], frame["v"], small, featurize.width)
     row_fold = frame["fold"].to_numpy(np.int64)
 
     def own_columns(picked: list[str]) -> np.ndarray:
