@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from tessera.llm import textarrays as ta
 from tessera.llm.bloom import MOST_BITS, RANGE_BITS, is_twice, twice_filter
-from tessera.llm.workspace import Workspace, carried, column, given_back
+from tessera.llm.workspace import SALTS, Workspace, carried, column, given_back, lookup
 
 LEAST_POINTS, LEAST_DOCS = 40, 5
 SENT_ROWS = 1 << 20
@@ -167,9 +167,10 @@ def dedup_lines(docs: DataFrame, *, least_points: int = LEAST_POINTS, least_docs
     hashes = work.save(texts.select("text").mapInArrow(_hasher(least_points), "n long, hashes binary"), "hashes")
     filter_sent, bits = twice_filter(hashes, work, most_bits, range_bits=range_bits)
     counted = texts.mapInArrow(_counter(filter_sent, bits, least_points, least_docs), typed(("digest", T.BinaryType()), ("hash", T.LongType()), ("ids", T.ArrayType(kind)), ("keeper", kind)))
-    # ids counted once each per line, by line first: a line of a third of all rows has one row a batch here
-    holders = counted.select("digest", F.explode("ids").alias("id")).distinct().groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
-    confirmed = work.save(counted.groupBy("digest").agg(F.min("hash").alias("hash"), F.max("keeper").alias("keeper")).join(holders.select("digest"), "digest", "left_semi"), "confirmed")
+    # ids counted once each per line, dealt by line and id first: a line of a third of all rows has a few rows a batch here
+    holders = counted.select("digest", "hash", "keeper", F.explode("ids").alias("id")).groupBy("digest", "id").agg(F.min("hash").alias("hash"), F.max("keeper").alias("keeper"))
+    lines = holders.groupBy("digest").agg(F.min("hash").alias("hash"), F.max("keeper").alias("keeper"), F.count("*").alias("n"))
+    confirmed = work.save(lines.where(F.col("n") >= least_docs).select("digest", "hash", "keeper"), "confirmed")
     work.drop("hashes")
 
     others = base.columns[2:]
@@ -183,7 +184,7 @@ def dedup_lines(docs: DataFrame, *, least_points: int = LEAST_POINTS, least_docs
     else:
         sent = None
         lists = texts.mapInArrow(_lister(filter_sent, bits, least_points), typed(("id", kind), ("digest", T.BinaryType())))
-        lists = lists.join(confirmed.select("digest", "keeper"), "digest").where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy(F.col("id").alias("of")).agg(F.collect_set("digest").alias("gone"))
+        lists = lookup(lists, confirmed.select("digest", "keeper", F.lit((1 << SALTS) - 1).alias("salts")), "digest", "id").where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy(F.col("id").alias("of")).agg(F.collect_set("digest").alias("gone"))
         ready = base.join(lists, F.col("id").eqNullSafe(F.col("of")), "left").select("id", "text", "gone", *others)
     schema = T.StructType([*typed(("id", kind), ("text", T.StringType()), ("n_lines", T.LongType()), ("n_dropped", T.LongType())).fields, *base.schema.fields[2:]])
     out = ready.mapInArrow(_dropper(sent, least_points), schema)
