@@ -33,10 +33,11 @@ def _narrow(items: DataFrame) -> DataFrame:
 def _choose(items: DataFrame, others: DataFrame, fits: Column, order: Column) -> DataFrame:
     """``items`` with ``m``: the least ``order`` among the ``others`` (doc_id as o_doc, page as o_page) of the page that fit, or null.
 
-    The items go along through the aggregate, so a chain of choices deals them out once.
+    The items go along through the aggregate, so a chain of choices deals them out once.  Both sides grow with the
+    documents, so they are merged: no broadcast holds one of them on the driver.
     """
     rest = [c for c in items.columns if c not in KEY]
-    near = items.join(others, (F.col("doc_id") == F.col("o_doc")) & (F.col("page") == F.col("o_page")) & fits, "left")
+    near = items.join(others.hint("merge"), (F.col("doc_id") == F.col("o_doc")) & (F.col("page") == F.col("o_page")) & fits, "left")
     best = near.groupBy(*KEY).agg(F.first(F.struct(*rest)).alias("item"), F.min(F.when(F.col("o_doc").isNotNull(), order)).alias("m"))
     return best.select(*KEY, "item.*", "m")
 

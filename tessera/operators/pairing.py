@@ -102,7 +102,7 @@ def _paired(fused: DataFrame, fields: list[FieldSpec], rects: DataFrame | None =
         docs = docs.withColumn("ticks", F.array().cast("array<struct<rect_idx:int,page:int,x:double,y:double,w:double,h:double,is_filled:boolean>>"))
     else:
         boxes = rects.where(is_checkbox_rect()).groupBy("doc_id").agg(F.collect_list(F.struct("rect_idx", "page", *_BOX, "is_filled")).alias("ticks"))
-        docs = docs.join(boxes, "doc_id", "left")
+        docs = docs.join(boxes.hint("merge"), "doc_id", "left")
 
     def label_of(f: Column) -> Column:
         hinted = lambda i: F.exists(f["tokens"], lambda t: F.contains(i["section"], t))

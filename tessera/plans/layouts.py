@@ -114,7 +114,8 @@ def rects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def form(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    joined = orders.join(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name").hint("merge")
+    joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
     return joined.withColumn("item_idx", F.explode(F.sequence(F.lit(0), F.lit(10)))).where(FORM_WHERE).selectExpr(*FORM)
 
 
