@@ -71,6 +71,11 @@ def box(prefix: str = "") -> Box:
     return Box(*(F.col(f"{prefix}{c}") for c in "xywh"))
 
 
+def box_of(struct: Column, prefix: str = "") -> Box:
+    """The box of a struct's fields."""
+    return Box(*(struct[f"{prefix}{c}"] for c in "xywh"))
+
+
 def from_edges(left: Column, top: Column, right: Column, bottom: Column) -> Column:
     """Struct x, y, w, h of edges in either order."""
     x, y = F.least(left, right), F.least(top, bottom)

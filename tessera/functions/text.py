@@ -20,13 +20,18 @@ def _folding() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+#: What ``(?U)\\s`` matches.
+BLANKS = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    """Without Unicode white space at both ends."""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def normalize(text: Column) -> Column:
     """Strip, lower, one space for each stretch of white space."""
-    return strip(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
 
 
 def fold_accents(text: Column) -> Column:

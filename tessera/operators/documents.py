@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.geometry import box, prefixed
-from tessera.functions.text import is_bold, is_italic, strip
-from tessera.operators.fuse import fusion_stats
+from tessera.functions.geometry import box, box_of, prefixed
+from tessera.functions.text import is_bold, is_italic, normalize, strip
+from tessera.operators.fuse import block_order, fusion_stats
 
 _BOX = ("x", "y", "w", "h")
 #: Labels that no context needs.
 FURNITURE = ("page_header", "page_footer", "picture")
 UNSECTIONED = "_unsectioned"
+#: Columns of items that contexts and sources are made of.
+SOURCE = ("item_idx", "page", *_BOX, "section_title", "block_label")
+READ = ("item_idx", "page", "text", *_BOX, "section_title", "block_label")
 IOU_FLOOR = 0.3
 
 
@@ -37,6 +40,77 @@ def llm_context(fused: DataFrame) -> DataFrame:
     return sections.groupBy("doc_id").agg(F.to_json(F.struct(shown.alias("sections"))).alias("context"))
 
 
+def _once(rows: DataFrame, kept: list[str], *columns: Column) -> DataFrame:
+    """``kept`` and new columns that are evaluated once a row: projections may be put into each other, and a lambda would evaluate them for every item."""
+    return rows.select(*kept, F.inline(F.array(F.struct(*columns))))
+
+
+def by_document(fused: DataFrame) -> DataFrame:
+    """(doc_id, items): a row per document, its items in no order, with what contexts and sources read."""
+    return fused.groupBy("doc_id").agg(F.collect_list(F.struct(*READ)).alias("items"))
+
+
+def fuse_documents(items: DataFrame, blocks: DataFrame, rects: DataFrame) -> DataFrame:
+    """As ``by_document`` of ``fuse``, with one exchange of each relation.
+
+    The blocks and rectangles of a document come to its items as arrays, by page; the choices are minima of the same structs. Cells aren't read, so none are looked for.
+    """
+    own = [c for c in READ if c not in ("section_title", "block_label")]
+    docs = items.groupBy("doc_id").agg(F.collect_list(F.struct(*own, F.coalesce("font_size", F.lit(0.0)).alias("size"))).alias("items"))
+    for name, others in (
+        ("blocks", blocks.select("doc_id", "page", "block_idx", "label", "heading_level", *_BOX)),
+        ("boxes", rects.where((F.col("rect_type") != "checkbox") & (box().area > 0)).select("doc_id", "page", "rect_idx", "rect_id", *_BOX)),
+    ):
+        docs = docs.join(others.groupBy("doc_id").agg(F.collect_list(F.struct(*others.columns[1:])).alias(name)).hint("merge"), "doc_id", "left")
+    by_page = lambda name: F.transform(F.array_distinct(F.transform(name, lambda o: o["page"])), lambda p: F.struct(p.alias("page"), F.filter(name, lambda o: o["page"] == p).alias("own"))).alias(name)
+    least = lambda i, name, fits, order: F.array_min(F.transform(F.filter(F.get(F.filter(name, lambda p: p["page"] == i["page"]), F.lit(0))["own"], fits), order))
+
+    def matched(i: Column) -> Column:
+        a = box_of(i)
+        near = lambda o: box_of(o).touches(a) & (box_of(o).holds_centre_of(a) | (box_of(o).iou(a) > 0))
+        block = least(i, "blocks", near, lambda o: block_order(a, box_of(o), o["block_idx"], o["label"], o["heading_level"]))
+        rect = least(i, "boxes", lambda o: box_of(o).holds_centre_of(a), lambda o: F.struct(box_of(o).area.alias("area"), o["rect_idx"].alias("rect_idx"), o["rect_id"].alias("rect_id")))
+        return F.struct(i.alias("i"), block["label"].alias("label"), rect["rect_id"].alias("box"))
+
+    docs = _once(_once(docs, ["doc_id", "items"], by_page("blocks"), by_page("boxes")), ["doc_id"], F.transform("items", matched).alias("own"))
+    # items of a box side by side, that of its title last
+    order = F.array_sort(F.transform(F.filter("own", lambda x: x["box"].isNotNull()), lambda x: F.struct(x["box"].alias("box"), x["i"]["size"].alias("size"), (-x["i"]["y"]).alias("up"), (-x["i"]["item_idx"]).alias("first"), x["i"]["text"].alias("text"))))
+    lasts = F.filter("order", lambda o, k: ~F.get("order", k + 1)["box"].eqNullSafe(o["box"]))
+    titles = F.map_from_entries(F.transform(lasts, lambda o: F.struct(o["box"], strip(o["text"]))))
+
+    def titled(x: Column) -> Column:
+        title = F.try_element_at("titles", x["box"])
+        shown = F.when((title != "") & (strip(x["i"]["text"]) != title), title)
+        columns = {c: x["i"][c] for c in own} | {"section_title": shown, "block_label": x["label"]}
+        return F.struct(*(columns[c].alias(c) for c in READ))
+
+    docs = _once(_once(docs, ["doc_id", "own"], order.alias("order")), ["doc_id", "own"], titles.alias("titles"))
+    return docs.select("doc_id", F.transform("own", titled).alias("items"))
+
+
+def prepared(docs: DataFrame) -> DataFrame:
+    """(doc_id, context, norms, places) of documents that are a row each (doc_id, items), without an exchange.
+
+    ``context`` as of ``llm_context``, or null; ``norms`` the normalised texts that aren't blank, in order, and ``places`` what bound values take of their items.
+    """
+    said = lambda i: strip(F.coalesce(i["section_title"], F.lit("")))
+    named = lambda i: F.struct(F.when(said(i) == "", UNSECTIONED).otherwise(said(i)).alias("section"), i["item_idx"].alias("i"), i["text"].alias("t"))
+    useful = F.array_sort(F.transform(F.filter("items", lambda i: is_useful(i["text"], i["block_label"])), named))
+    begins = lambda own: F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda k: (k == 0) | (F.get(own, k)["section"] != F.get(own, k - 1)["section"]))
+
+    def section(own: Column, begin: Column, end: Column) -> Column:
+        first = F.get(own, begin)
+        return F.struct(first["i"].alias("first"), first["section"].alias("section"), F.transform(F.slice(own, begin + 1, end - begin), lambda i: F.struct(i["i"].alias("i"), i["t"].alias("t"))).alias("items"))
+
+    # a section's items lie side by side, from its beginning to that of the next one
+    parts = lambda x: F.array_sort(F.transform(x["at"], lambda begin, n: section(x["own"], begin, F.coalesce(F.get(x["at"], n + 1), F.size(x["own"])))))
+    shown = lambda x: F.transform(parts(x), lambda s: F.struct(s["section"].alias("title"), s["items"].alias("items")))
+    placed = lambda i: F.struct(i["item_idx"].alias("item_idx"), normalize(F.coalesce(i["text"], F.lit(""))).alias("norm"), F.struct(*(i[c].alias(c) for c in SOURCE)).alias("place"))
+    rows = _once(docs, ["doc_id"], useful.alias("own"), F.array_sort(F.filter(F.transform("items", placed), lambda i: i["norm"] != "")).alias("placed"))
+    sections = F.flatten(F.transform(F.transform(F.array("own"), lambda own: F.struct(own.alias("own"), begins(own).alias("at"))), shown))
+    return rows.select("doc_id", F.when(F.size("own") > 0, F.to_json(F.struct(sections.alias("sections")))).alias("context"), F.col("placed.norm").alias("norms"), F.col("placed.place").alias("places"))
+
+
 def items_in_blocks(items: DataFrame, blocks: DataFrame) -> DataFrame:
     """Every block with the items whose centre it holds; an item may be in several."""
     b = blocks.select("doc_id", "page", *prefixed(("block_idx", *_BOX), "b_"))

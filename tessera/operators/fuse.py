@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.geometry import box, prefixed
+from tessera.functions.geometry import Box, box, prefixed
+from tessera.functions.text import strip
 
 KEY = ("doc_id", "page", "item_idx")
 _BOX = ("x", "y", "w", "h")
@@ -21,11 +22,6 @@ def blank(text: Column) -> Column:
     return F.coalesce(strip(text), F.lit("")) == ""
 
 
-def strip(text: Column) -> Column:
-    """Without Unicode white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
-
-
 def _narrow(items: DataFrame) -> DataFrame:
     return items.select(*KEY, *_BOX)
 
@@ -52,20 +48,29 @@ def with_blocks(items: DataFrame, blocks: DataFrame) -> DataFrame:
     Adds block_idx, block_label, block_heading_level, match_method, match_score; ties by area, then block order.
     """
     i, o = box(), box("b_")
-    centre, iou = o.holds_centre_of(i), o.iou(i)
-    order = F.struct(
-        F.when(centre, 0).otherwise(1).alias("tier"), F.when(centre, 0.0).otherwise(-iou).alias("k"), o.area.alias("area"), F.col("b_block_idx").alias("block_idx"),
-        F.col("b_label").alias("label"), F.col("b_heading_level").alias("level"),
-    )
-    best = _choose(items, _others(blocks, "b_", "block_idx", "label", "heading_level"), o.touches(i) & (centre | (iou > 0)), order)
-    tier = F.col("m.tier")
-    return best.select(
-        *items.columns, F.col("m.block_idx").alias("block_idx"), F.col("m.label").alias("block_label"), F.col("m.level").alias("block_heading_level"),
-        F.when(tier == 0, "centroid").when(tier == 1, "iou").otherwise("none").alias("match_method"),
-        F.round(F.when(tier == 0, 1.0).when(tier == 1, -F.col("m.k")).otherwise(0.0), 4).alias("match_score"),
+    order = block_order(i, o, *(F.col(f"b_{c}") for c in ("block_idx", "label", "heading_level")))
+    best = _choose(items, _others(blocks, "b_", "block_idx", "label", "heading_level"), o.touches(i) & (o.holds_centre_of(i) | (o.iou(i) > 0)), order)
+    return best.select(*items.columns, *(v.alias(c) for c, v in match_of(F.col("m")).items()))
+
+
+def block_order(i: Box, o: Box, block_idx: Column, label: Column, level: Column) -> Column:
+    """Blocks that hold the item's centre by area, then the others by IoU."""
+    centre = o.holds_centre_of(i)
+    return F.struct(
+        F.when(centre, 0).otherwise(1).alias("tier"), F.when(centre, 0.0).otherwise(-o.iou(i)).alias("k"), o.area.alias("area"), block_idx.alias("block_idx"), label.alias("label"), level.alias("level"),
     )
 
 
+def match_of(m: Column) -> dict[str, Column]:
+    """What an item gets of the least ``block_order``, or of null."""
+    tier = m["tier"]
+    return {
+        "block_idx": m["block_idx"], "block_label": m["label"], "block_heading_level": m["level"],
+        "match_method": F.when(tier == 0, "centroid").when(tier == 1, "iou").otherwise("none"),
+        "match_score": F.round(F.when(tier == 0, 1.0).when(tier == 1, -m["k"]).otherwise(0.0), 4),
+    }
+
+
 def with_rects(items: DataFrame, rects: DataFrame) -> DataFrame:
     """Per item the smallest rectangle with an area, not a checkbox, that holds its centre; adds box_rect_idx, enclosing_box_id."""
     o = box("r_")
